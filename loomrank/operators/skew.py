@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Groups of partitions that merge their sketches before the last merge.
@@ -90,18 +90,12 @@ def per_key_lists(
         .groupBy(key, "segment", record).agg(F.max(payload).alias(payload))
     )
     once = rest.repartition(key).groupBy(key, record).agg(F.max(payload).alias(payload))
-    place = F.row_number().over(_by(key, record)) - 1
+    place = F.row_number().over(Window.partitionBy(key).orderBy(record)) - 1
     rest = once.withColumn("segment", F.floor(place / length).cast("int"))
     lists = [F.count("*").alias("n"), F.sort_array(F.collect_list(item)).alias("items")]
     return hot.groupBy(key, "segment").agg(*lists).unionByName(rest.groupBy(key, "segment").agg(*lists))
 
 
-def _by(key: str, record: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(record)
-
-
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
     """left joined with right on key, where a few keys hold most rows of left.
 
@@ -119,3 +113,37 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", h
     few = right.join(keys, key, "left_semi")
     hot = left.join(keys, key, "left_semi").join(F.broadcast(few), key, how)
     return hot.unionByName(left.join(keys, key, "left_anti").join(right, key, how))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, record: str, heavy: DataFrame | None = None) -> DataFrame:
+    """Inner join on key where right may hold several rows per key and a few keys hold most rows of left.
+
+    Rows of left of a heavy key are spread by a hash of `record` over as many salts as the key has fair
+    shares of rows; the rows of right of that key are repeated once per salt. Null keys match nothing.
+    Apart from the key the two tables must not share a column name.
+    """
+    heavy = heavy_keys(left, key) if heavy is None else heavy
+    least = heavy.agg(F.min("estimate")).first()[0]
+    if least is None:
+        return left.join(right, key)
+    salts = F.broadcast(heavy.select(key, F.ceil(2 * F.col("estimate") / F.lit(least)).cast("int").alias("_salts")))
+    many = F.coalesce("_salts", F.lit(1))
+    left = left.join(salts, key, "left").withColumn("_salt", F.pmod(F.xxhash64(record), many).cast("int")).drop("_salts")
+    right = right.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def running_sum(df: DataFrame, group: str, order: list[Column], weight: Column, name: str) -> DataFrame:
+    """df with the sum of weight over the earlier rows of the group in the given order, which must be total.
+
+    A group may be of any size: rows are range-partitioned by (group, order), summed within each range,
+    and the sums of earlier ranges, a row per group and range, are added.
+    """
+    from loomrank.sources.tables import saved
+
+    parts = saved(df.withColumn("_w", weight).repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(group, "_part").agg(F.sum("_w").alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    out = parts.withColumn("_inside", F.coalesce(F.sum("_w").over(inside), F.lit(0))).join(sums, [group, "_part"])
+    return out.withColumn(name, F.col("_inside") + F.col("_before")).drop("_w", "_part", "_inside", "_before")
