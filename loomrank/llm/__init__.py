@@ -1 +1,5 @@
-MODULES = []
+"""Operators for language-model training data. Nothing outside this subpackage imports it."""
+
+from loomrank.llm import distinctive, fusion, topn, tries
+
+MODULES = [tries, distinctive, topn, fusion]
