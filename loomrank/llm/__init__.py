@@ -1,5 +1,5 @@
 """Operators for language-model training data. Nothing outside this subpackage imports it."""
 
-from loomrank.llm import distinctive, fusion, topn, tries
+from loomrank.llm import distinctive, fusion, markup, mixing, packing, repetition, topn, tries
 
-MODULES = [tries, distinctive, topn, fusion]
+MODULES = [tries, distinctive, markup, topn, fusion, packing, mixing, repetition]
