@@ -38,10 +38,18 @@ def tokens(pages: DataFrame, cfg: EngineConfig = DEFAULT, fields: tuple[str, ...
     return pages.select("page_id", F.explode(each).alias("f")).select("page_id", "f.field", F.explode("f.words").alias("word"))
 
 
+_STOPS: dict[tuple[str, ...], list[str]] = {}
+
+
 def stop_stems(spark, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """(stem): the stems of the stop words; further words with these stems are stopped too."""
-    words = spark.createDataFrame([(w,) for w in cfg.stop_words if w.isascii() and w.isalpha()], "word string")
-    return words.select(stem(ascii_lower(F.col("word"))).alias("stem")).distinct()
+    """(stem): the stems of the stop words; further words with these stems are stopped too.
+
+    The list is stemmed once a process: it is a parameter, and small.
+    """
+    if cfg.stop_words not in _STOPS:
+        words = spark.createDataFrame([(w,) for w in cfg.stop_words if w.isascii() and w.isalpha()], "word string")
+        _STOPS[cfg.stop_words] = sorted({r["stem"] for r in words.select(stem(ascii_lower(F.col("word"))).alias("stem")).collect()})
+    return spark.createDataFrame([(x,) for x in _STOPS[cfg.stop_words]], "stem string")
 
 
 def without_stops(stemmed: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:

@@ -44,7 +44,7 @@ def next_words(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
     asked = terms.select(F.struct("query_id", "pos", "flags").cast("struct<query_id:bigint,pos:int,flags:int>").alias("term"), F.lit(None).cast("string").alias("stem"), word_number(F.col("stem")).alias("number"))
     width = F.lit(str(27**10)).cast("decimal(20,0)")
     both = entries.unionByName(asked).withColumn("range", ((F.col("number") - F.col("number") % width) / width).cast("bigint"))
-    back = Window.partitionBy("range").orderBy(F.desc("number"), F.col("term").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("range").orderBy(F.desc("number"), F.col("term").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     own = both.withColumn("found", F.last("stem", ignorenulls=True).over(back))
     first = both.where("stem is not null").groupBy("range").agg(F.min_by("stem", "number").alias("first"))
     ranges = both.select("range").distinct().join(first, "range", "left")  # 27**4 rows at most

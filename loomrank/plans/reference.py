@@ -115,12 +115,18 @@ def posting_tier(s, d):
     return index.postings_of(_pages(s, d)).select("stem", "page_id", "freq", "tier")
 
 
+def _told(df: DataFrame, column: str) -> DataFrame:
+    """A list as one string."""
+    return df.withColumn(column, F.array_join(F.col(column).cast("array<string>"), ","))
+
+
 def inverted_index(s, d):
-    return index.inverted_index(index.postings_of(_pages(s, d)))
+    lists = index.inverted_index(index.postings_of(_pages(s, d)))
+    return _told(lists.withColumn("items", F.transform("items", lambda x: F.concat_ws(":", x["page_id"], x["freq"]))), "items")
 
 
 def low_lists(s, d):
-    return index.low_lists(index.postings_of(_pages(s, d)))
+    return _told(index.low_lists(index.postings_of(_pages(s, d))), "items")
 
 
 def dictionary(s, d):
@@ -165,11 +171,15 @@ def _page_lists(s, d):
 
 
 def delta_encode(s, d):
+    return _told(_gaps(s, d), "gaps")
+
+
+def _gaps(s, d):
     return _page_lists(s, d).select("word_val", "segment", text.deltas(F.col("items")).alias("gaps"))
 
 
 def delta_decode(s, d):
-    return delta_encode(s, d).select("word_val", "segment", text.undeltas(F.col("gaps")).alias("ids"))
+    return _told(_gaps(s, d).select("word_val", "segment", text.undeltas(F.col("gaps")).alias("ids")), "ids")
 
 
 def varint_encode(s, d):
@@ -213,7 +223,7 @@ def out_degree(s, d):
 
 
 def backlinks(s, d):
-    return links.backlinks(table(s, d, "edges"))
+    return _told(links.backlinks(table(s, d, "edges")), "items")
 
 
 def corpus_stats(s, d):

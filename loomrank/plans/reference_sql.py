@@ -103,11 +103,11 @@ WEIGHT = "CAST(coalesce(freq, 0) * CASE tier WHEN 'title' THEN 100 WHEN 'categor
 RANKS = "ranks AS (SELECT page_id, max(pr) AS pr FROM pageranks WHERE pr IS NOT NULL AND NOT isnan(pr) GROUP BY page_id)"
 GIVEN = "terms AS (SELECT query_id, pos, 7 AS flags, word_val FROM query_terms WHERE query_id IS NOT NULL AND word_val IS NOT NULL)"
 PARSED = rf"""
-asked AS (SELECT query_id, generate_subscripts(r, 1) AS at, unnest(r) AS raw FROM (SELECT query_id, string_split(regexp_replace(translate(query_text, {LC}), '[^a-z: ]', '', 'g'), ' ') AS r FROM queries WHERE query_id IS NOT NULL)),
-parts AS (SELECT query_id, at, left(regexp_extract(raw, '([^:]*)$', 1), 63) AS word, CASE WHEN NOT contains(raw, ':') THEN 7
+asked AS (SELECT query_id, generate_subscripts(r, 1) AS k, unnest(r) AS raw FROM (SELECT query_id, string_split(regexp_replace(translate(query_text, {LC}), '[^a-z: ]', '', 'g'), ' ') AS r FROM queries WHERE query_id IS NOT NULL)),
+parts AS (SELECT query_id, k, left(regexp_extract(raw, '([^:]*)$', 1), 63) AS word, CASE WHEN NOT contains(raw, ':') THEN 7
 ELSE CASE regexp_extract(regexp_extract(raw, '^(.*):', 1), '([a-z])[a-z]*:?$', 1) WHEN 't' THEN 1 WHEN 'c' THEN 3 ELSE 7 END END AS flags FROM asked),
 {STOP}, vocabulary AS (SELECT word FROM parts WHERE word <> '' UNION SELECT word FROM stop){stems("vocabulary")},
-parsed AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY at) - 1 AS INTEGER) AS pos, word, stem, flags FROM parts JOIN stemmed USING (word)
+parsed AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY k) - 1 AS INTEGER) AS pos, word, stem, flags FROM parts JOIN stemmed USING (word)
 WHERE stem NOT IN (SELECT stem FROM stop JOIN stemmed USING (word)))"""
 NAMES = f"dict AS (SELECT word_val, {letters('word_val')} AS stem FROM (SELECT DISTINCT word_val FROM p))"
 FOUND = PARSED + f", {POSTINGS}, {NAMES}, terms AS (SELECT query_id, pos, flags, word_val FROM parsed JOIN dict USING (stem))"
@@ -135,7 +135,7 @@ def _topk(query: str) -> str:
 
 _LISTS = "(SELECT word_val, 0 AS segment, list(page_id ORDER BY page_id) AS ids FROM (SELECT DISTINCT word_val, page_id FROM postings WHERE word_val IS NOT NULL AND tier = 'high') GROUP BY word_val)"
 _COUNTS = "SELECT page_id, word, count(*) AS n FROM tokens WHERE field = '{}' GROUP BY ALL"
-_INDEX = "SELECT stem, tier, 0 AS segment, count(*) AS n, list({'page_id': page_id, 'freq': freq} ORDER BY page_id, freq) AS items FROM (SELECT stem, CASE WHEN tier = 'low' THEN 'low' || freq ELSE tier END AS tier, page_id, freq FROM tiers) GROUP BY stem, tier"
+_INDEX = "SELECT stem, tier, 0 AS segment, count(*) AS n, string_agg(page_id || ':' || freq, ',' ORDER BY page_id) AS items FROM (SELECT stem, CASE WHEN tier = 'low' THEN 'low' || freq ELSE tier END AS tier, page_id, freq FROM tiers) GROUP BY stem, tier"
 
 SQL = {
     "scan_pages": f"WITH {RAW} SELECT page_id, file_name, seq, length(raw) AS raw_length FROM raw",
@@ -159,7 +159,7 @@ WHEN c BETWEEN '0' AND '8' THEN ascii(c) - 21 WHEN c = '.' THEN 37 ELSE ascii(c)
     "posting_pack": f"WITH {KEPT} SELECT stem, page_id, CAST(freq * 4 + in_title::INTEGER + 2 * in_category::INTEGER AS INTEGER) AS payload FROM freqs",
     "posting_tier": f"WITH {KEPT} SELECT stem, page_id, freq, tier FROM tiers",
     "inverted_index": f"WITH {KEPT} {_INDEX}",
-    "low_lists": f"WITH {KEPT} SELECT stem, freq, 0 AS segment, count(*) AS n, list(page_id ORDER BY page_id) AS items FROM tiers WHERE tier = 'low' GROUP BY stem, freq",
+    "low_lists": f"WITH {KEPT} SELECT stem, freq, 0 AS segment, count(*) AS n, string_agg(page_id, ',' ORDER BY page_id) AS items FROM tiers WHERE tier = 'low' GROUP BY stem, freq",
     "dictionary": f"WITH {KEPT} SELECT stem, count(*) AS pages, count(*) FILTER (tier <> 'low') AS searchable FROM tiers GROUP BY stem",
     "posting_lists": f"WITH {POSTINGS} SELECT word_val, tier, count(*) AS pages, CAST(coalesce(sum(freq), 0) AS BIGINT) AS occurrences FROM p GROUP BY ALL",
     "nested_lists": """SELECT word_val, tier, x.page_id AS page_id, x.freq AS freq FROM (
@@ -168,8 +168,8 @@ UNION ALL SELECT word_val, 'high', unnest(high_list) FROM posting_list) WHERE wo
 UNION ALL SELECT word_val, 'low', unnest(ids), f FROM (SELECT word_val, unnest(low_list) AS ids, CAST(generate_subscripts(low_list, 1) - 1 AS INTEGER) AS f FROM posting_list WHERE word_val IS NOT NULL)""",
     "doc_freq": f"WITH {POSTINGS} SELECT word_val, count(*) AS searchable_pages FROM p WHERE tier <> 'low' GROUP BY word_val",
     "title_offsets": f"WITH {PAGES} SELECT page_id, size, CAST(coalesce(sum(size) OVER (PARTITION BY file_name ORDER BY seq, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS title_offset FROM (SELECT page_id, file_name, seq, CAST(strlen(title) + 1 AS BIGINT) AS size FROM raw JOIN pages USING (page_id))",
-    "delta_encode": f"SELECT word_val, segment, list_transform(ids, lambda x, i: x - coalesce(ids[i - 1], 0)) AS gaps FROM {_LISTS}",
-    "delta_decode": f"SELECT word_val, segment, ids FROM {_LISTS}",
+    "delta_encode": f"SELECT word_val, segment, array_to_string(list_transform(ids, lambda x, i: x - coalesce(ids[i - 1], 0)), ',') AS gaps FROM {_LISTS}",
+    "delta_decode": f"SELECT word_val, segment, array_to_string(ids, ',') AS ids FROM {_LISTS}",
     "varint_encode": """SELECT n, lower(array_to_string(list_transform(list_filter(range(0, 9), lambda i: i = 0 OR n >= (1::BIGINT << (7 * i)::INTEGER)), lambda i: printf('%02x',
 CAST(((n >> (7 * i)::INTEGER) & 127) * 2 + CASE WHEN n >= (1::BIGINT << (7 * (i + 1))::INTEGER) THEN 1 ELSE 0 END AS INTEGER))), '')) AS bytes FROM (SELECT DISTINCT dst AS n FROM edges WHERE dst IS NOT NULL)""",
     "varint_round_trip": "SELECT DISTINCT dst - src AS n, dst - src AS back FROM edges WHERE dst IS NOT NULL",
@@ -180,7 +180,7 @@ CAST(((n >> (7 * i)::INTEGER) & 127) * 2 + CASE WHEN n >= (1::BIGINT << (7 * (i
     "page_edges": f"WITH {LINKS} SELECT DISTINCT src, page_id AS dst FROM links JOIN titles USING (title_key)",
     "edges": f"WITH {EDGES} SELECT src, dst FROM e",
     "out_degree": f"WITH {EDGES} SELECT page_id, count(dst) AS n FROM ids LEFT JOIN e ON src = page_id GROUP BY page_id",
-    "backlinks": f"WITH {EDGES} SELECT dst, 0 AS segment, count(*) AS n, list(src ORDER BY src) AS items FROM e GROUP BY dst",
+    "backlinks": f"WITH {EDGES} SELECT dst, 0 AS segment, count(*) AS n, string_agg(src, ',' ORDER BY src) AS items FROM e GROUP BY dst",
     "corpus_stats": f"""WITH {LINKS}, t AS (SELECT src, page_id AS dst FROM links LEFT JOIN titles USING (title_key)), f AS (SELECT count(*) AS found FROM (SELECT DISTINCT src, dst FROM t WHERE dst IS NOT NULL))
 SELECT (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM titles) AS titles, found + (SELECT count(*) FROM t WHERE dst IS NULL) AS links, found FROM f""",
     "pagerank_init": f"WITH {EDGES} SELECT page_id, round(1.0::DOUBLE / (SELECT count(*) + 1 FROM ids), 12) AS pr FROM ids",
