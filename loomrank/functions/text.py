@@ -99,12 +99,17 @@ def _step_last(w: Column, s: Column) -> Column:
 def stem(word: Column) -> Column:
     """The stem of a lower-case ASCII word; words of one or two letters stay as they are.
 
-    Every step stands in a one-element array, so that its word and shape are computed once.
+    Every step only cuts letters off, or puts an e or i at the end, both vowels wherever they stand. So the shape is
+    computed once, and cut and mended along; one-element arrays keep each step's result from being computed again.
     """
-    pair = lambda w: F.struct(w.alias("w"), shape(w).alias("s"))
-    x = F.array(pair(_step_plural(word)))
+    mended = lambda w, s: F.when(F.right(w, F.lit(1)).isin("e", "i"), F.concat(_cut(F.left(s, F.length(w)), 1), F.lit("V"))).otherwise(F.left(s, F.length(w)))
+    pair = lambda w, s: F.struct(w.alias("w"), s.alias("s"))
+    x = F.array(pair(_step_plural(word), shape(word)))
+    mend = lambda p: pair(p["w"], mended(p["w"], p["s"]))
+    x = F.transform(x, mend)
     for step in (_step_past, _step_y, _step_third):
-        x = F.transform(x, (lambda f: lambda p: pair(f(p["w"], p["s"])))(step))
+        x = F.transform(x, (lambda f: lambda p: pair(f(p["w"], p["s"]), F.concat(p["s"], F.lit("V"))))(step))
+        x = F.transform(x, mend)
     x = F.transform(x, lambda p: _step_last(p["w"], p["s"]))
     return F.when(F.length(word) <= 2, word).otherwise(F.element_at(x, 1))
 

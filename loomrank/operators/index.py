@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomrank.config import DEFAULT, EngineConfig
 from loomrank.functions.text import CATEGORY, CATEGORY_FORMS, ascii_lower, letter_runs, stem
 from loomrank.operators import skew
+from loomrank.sources.tables import saved
 
 TITLE_FLAG, CATEGORY_FLAG = 1, 2
 #: From the first category link on: category names, one after another with nothing but non-letters and the bare word between.
@@ -52,9 +53,17 @@ def stop_stems(spark, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return spark.createDataFrame([(x,) for x in _STOPS[cfg.stop_words]], "stem string")
 
 
-def without_stops(stemmed: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """The rows of stemmed whose stem is not that of a stop word. The stop list is a parameter and small."""
-    return stemmed.join(F.broadcast(stop_stems(stemmed.sparkSession, cfg)), "stem", "left_anti")
+def stems_of(counted: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """counted (with a column word) with the stem of each word; words whose stem is a stop word's are dropped.
+
+    Only distinct words are stemmed, and joined back: common words by broadcast, as each stands on most pages, and the
+    rest by a shuffle join.
+    """
+    words = counted.select("word").distinct()
+    stops = stop_stems(counted.sparkSession, cfg)
+    stemmed = saved(words.withColumn("stem", stem(F.col("word"))), "stems")
+    kept = stemmed.join(F.broadcast(stops), "stem", "left_anti")  # the stop list is a parameter, and small
+    return skew.skew_join(counted, kept, "word")
 
 
 def term_freq(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -66,7 +75,7 @@ def term_freq(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
         F.count("*").alias("n"),
         F.bit_or(F.when(F.col("field") == "title", TITLE_FLAG).when(F.col("field") == "category", CATEGORY_FLAG).otherwise(0)).alias("flags"),
     )
-    stemmed = without_stops(counted.withColumn("stem", stem(F.col("word"))), cfg)
+    stemmed = stems_of(saved(counted, "words"), cfg)
     once = stemmed.groupBy("page_id", "stem").agg(F.sum("n").cast("int").alias("freq"), F.bit_or("flags").alias("flags"))
     return once.select("stem", "page_id", "freq", ((F.col("flags") % 2) == 1).alias("in_title"), (F.col("flags") >= 2).alias("in_category"))
 

@@ -99,8 +99,8 @@ def _field_tokens(field):
 
 
 def tokens_nostop(s, d):
-    t = index.tokens(_pages(s, d)).groupBy("page_id", "field", "word").agg(F.count("*").alias("n")).withColumn("stem", text.stem(F.col("word")))
-    return index.without_stops(t).groupBy("page_id", "field", "stem").agg(F.sum("n").alias("n"))
+    t = index.tokens(_pages(s, d)).groupBy("page_id", "field", "word").agg(F.count("*").alias("n"))
+    return index.stems_of(saved(t, "words")).groupBy("page_id", "field", "stem").agg(F.sum("n").alias("n"))
 
 
 def term_freq(s, d):
@@ -121,12 +121,12 @@ def _told(df: DataFrame, column: str) -> DataFrame:
 
 
 def inverted_index(s, d):
-    lists = index.inverted_index(index.postings_of(_pages(s, d)))
+    lists = index.inverted_index(saved(index.postings_of(_pages(s, d)), "postings"))
     return _told(lists.withColumn("items", F.transform("items", lambda x: F.concat_ws(":", x["page_id"], x["freq"]))), "items")
 
 
 def low_lists(s, d):
-    return _told(index.low_lists(index.postings_of(_pages(s, d))), "items")
+    return _told(index.low_lists(saved(index.postings_of(_pages(s, d)), "postings")), "items")
 
 
 def dictionary(s, d):
