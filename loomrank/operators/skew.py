@@ -18,6 +18,8 @@ SKETCH_GROUPS = 64
 #: Frequent-items sketches of m counters err by at most 3.5 / m of all rows.
 SKETCH_ERROR = 3.5
 MOST_TRACKED = 1_000_000
+#: Fewer rows than this are no burden for a task, whatever their share.
+LEAST_ROWS = 10_000
 
 
 def heavy_share(spark: SparkSession) -> float:
@@ -25,8 +27,8 @@ def heavy_share(spark: SparkSession) -> float:
     return min(0.01, max(1e-5, 0.5 / int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def heavy_keys(df: DataFrame, key: str, share: float | None = None) -> DataFrame:
-    """(key, estimate): every key with at least `share` of the rows of df with a key.
+def heavy_keys(df: DataFrame, key: str, share: float | None = None, least: int = LEAST_ROWS) -> DataFrame:
+    """(key, estimate): every key with at least `share` of the rows of df with a key, and at least `least` rows.
 
     The sketch keeps enough counters that its error stays below a quarter of `share`, so no such key
     is missed; keys slightly below may be reported too. Null keys are never heavy: no operator here
@@ -46,7 +48,7 @@ def heavy_keys(df: DataFrame, key: str, share: float | None = None) -> DataFrame
         F.when(F.col("n") > 0, F.expr(f"approx_top_k_estimate(s, {min(most, tracked)})")).alias("top"), "n"
     )
     got = row.first()
-    found = [(x["item"], x["count"]) for x in got["top"] or [] if x["count"] >= 0.75 * share * got["n"]] if got and got["n"] else []
+    found = [(x["item"], x["count"]) for x in got["top"] or [] if x["count"] >= 0.75 * max(share * got["n"], least)] if got and got["n"] else []
     kind = df.schema[key].dataType.simpleString()
     return spark.createDataFrame(found, f"`{key}` {kind}, estimate bigint")
 
