@@ -30,7 +30,7 @@ def shape(word: Column) -> Column:
 
     def add(a: Column, c: Column) -> Column:
         vowel = c.isin("a", "e", "i", "o", "u") | ((c == "y") & (F.right(a, F.lit(1)) == "C"))
-        return F.concat(a, F.when(vowel, "V").otherwise("C"))
+        return F.concat(a, F.when(c == "", "").when(vowel, "V").otherwise("C"))
 
     return F.aggregate(F.split(word, ""), F.lit(""), add)
 

@@ -44,11 +44,10 @@ def heavy_keys(df: DataFrame, key: str, share: float | None = None, least: int =
         .groupBy("g")
         .agg(F.expr(f"approx_top_k_accumulate(k, {tracked})").alias("s"), F.count("*").alias("n"))
     )
-    row = parts.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n")).select(
-        F.when(F.col("n") > 0, F.expr(f"approx_top_k_estimate(s, {min(most, tracked)})")).alias("top"), "n"
-    )
-    got = row.first()
-    found = [(x["item"], x["count"]) for x in got["top"] or [] if x["count"] >= 0.75 * max(share * got["n"], least)] if got and got["n"] else []
+    # one group, so that no rows give no sketch
+    whole = parts.groupBy(F.col("g") < 0).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n"))
+    got = whole.select(F.expr(f"approx_top_k_estimate(s, {min(most, tracked)})").alias("top"), "n").first()
+    found = [(x["item"], x["count"]) for x in got["top"] if x["count"] >= 0.75 * max(share * got["n"], least)] if got else []
     kind = df.schema[key].dataType.simpleString()
     return spark.createDataFrame(found, f"`{key}` {kind}, estimate bigint")
 
@@ -98,18 +97,20 @@ def per_key_lists(
     return hot.groupBy(key, "segment").agg(*lists).unionByName(rest.groupBy(key, "segment").agg(*lists))
 
 
+def _renamed(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    return right.withColumnsRenamed({c: f"{c}_right" for c in set(left.columns) & set(right.columns) - {key}})
+
+
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", heavy: DataFrame | None = None) -> DataFrame:
     """left joined with right on key, where a few keys hold most rows of left.
 
     right must hold one row per key at most, so that its rows of heavy keys, which are broadcast, number
     no more than the heavy keys; the rest is a shuffle join. how: inner or left. Null keys match nothing.
-    Apart from the key the two tables must not share a column name.
+    Other columns of right that left has too come out with the suffix _right.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    clash = (set(left.columns) & set(right.columns)) - {key}
-    if clash:
-        raise ValueError(f"both sides have {sorted(clash)}")
+    right = _renamed(left, right, key)
     heavy = heavy_keys(left, key) if heavy is None else heavy
     keys = F.broadcast(heavy.select(key))
     few = right.join(keys, key, "left_semi")
@@ -122,8 +123,9 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, record: str, heavy:
 
     Rows of left of a heavy key are spread by a hash of `record` over as many salts as the key has fair
     shares of rows; the rows of right of that key are repeated once per salt. Null keys match nothing.
-    Apart from the key the two tables must not share a column name.
+    Other columns of right that left has too come out with the suffix _right.
     """
+    right = _renamed(left, right, key)
     heavy = heavy_keys(left, key) if heavy is None else heavy
     least = heavy.agg(F.min("estimate")).first()[0]
     if least is None:
