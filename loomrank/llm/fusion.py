@@ -61,8 +61,8 @@ def median_rank(rows: DataFrame, group: str, item: str, weights: dict[str, float
 
     if not few:
         return small(rows)
-    hot, rest = skew.split(rows, group, large)
-    hot = hot.drop("estimate")
+    keys = F.broadcast(large.select(group))
+    hot, rest = rows.join(keys, group, "left_semi"), rows.join(keys, group, "left_anti")
     sizes = F.broadcast(hot.groupBy(group).agg(F.count("*").alias("items")))  # a row per large group
     for s in scores:
         hot = _large_group_ranks(hot, group, s)
