@@ -129,7 +129,7 @@ def test_codec_vectors():
         assert codec.write_varint(n).hex() == h and codec.read_varint(bytes.fromhex(h)) == (n, len(h) // 2)
     for n, h in ((-1, "82"), (0, "00"), (63, "7e"), (64, "0102"), (-64, "8102"), (-10000, "a13902")):
         assert codec.write_signed(n).hex() == h and codec.read_signed(bytes.fromhex(h)) == (n, len(h) // 2)
-    for w, h in (("ashutosh", "0cd1ad1f9a00"), ("a", "0800"), ("ab", "0880"), ("abc", "08870000"), ("", "0000")):
+    for w, h in (("sigma", "9a4f6840"), ("a", "0800"), ("ab", "0880"), ("abc", "08870000"), ("", "0000")):
         assert codec.write_word(w).hex() == h and codec.read_word(bytes.fromhex(h))[0] == w
     assert codec.read_gaps(codec.write_gaps([3, 4, 900])) == ([3, 4, 900], 5)
     assert codec.read_text(codec.write_text("a b")) == ("a b", 4) and codec.read_double(codec.write_double(3.14))[0] == 3.14 and codec.read_short(codec.write_short(15)) == (15, 2)
