@@ -2,7 +2,8 @@
 
 zstandard packs repeated phrases into short references, so the ratio of a document's bytes to its compressed
 bytes, of the whole and of fixed chunks, tells repetitive from ordinary text at little cost. What is ordinary
-depends on the length, so the limits do. Only documents in a suspicious band are counted word by word.
+depends on the length, so the limits do. No ratio proves that a text repeats little, so the bands decide nothing
+about p9_found: repeated words are counted in every document.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from loomrank.sources.tables import table
 RUN, FOUND = 5, 0.3
 CHUNK = 4096
 #: From this many bytes on: (ratio below which text is ordinary, ratio from which it is repetitive). The first is set
-#: well below any text of which 30 % is repeated (of which 15 % at least is copies); ordinary prose lies on both sides.
+#: for prose; lists and numbers pack so poorly that texts of which 30 % is repeated lie below it too.
 LIMITS = ((0, 0.0, 1.6), (200, 1.4, 1.8), (400, 1.5, 1.95), (800, 1.65, 2.2), (1600, 1.8, 2.4), (3200, 1.95, 2.7), (6400, 2.05, 3.0), (25600, 2.1, 3.4))
 #: Text that zstandard cannot shorten to this ratio, from so many bytes on, is no prose.
 INCOMPRESSIBLE, INCOMPRESSIBLE_FROM = 1.05, 400
@@ -103,8 +104,7 @@ def _measure(exact: str):
                     out.append((None,) * 5)
                     continue
                 whole, chunk, band = bands(text, packer) if exact != "all" else (None, None, None)
-                counted = exact == "all" or exact == "suspicious" and band in ("suspicious", "repetitive")
-                out.append((whole, chunk, band, *(repeated_words(text) if counted else (None, None))))
+                out.append((whole, chunk, band, *(repeated_words(text) if exact != "none" else (None, None))))
             kinds = (pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.int32())
             columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "ratio", "chunk_ratio", "band", "words", "repeated_words"])
@@ -112,11 +112,11 @@ def _measure(exact: str):
     return run
 
 
-def repetition(documents: DataFrame, exact: str = "suspicious") -> DataFrame:
+def repetition(documents: DataFrame, exact: str = "both") -> DataFrame:
     """(doc_id, ratio, chunk_ratio, band, words, repeated_words) of every document, without a shuffle.
 
-    exact: `suspicious` counts words where the compression bands call for it, `all` everywhere and leaves the bands
-    null, `none` nowhere. A null text has nulls; an empty one ratio 0 and, if counted, 0 words. Whole texts are read,
+    exact: `both` gives the bands and counts the words of every document, `all` only counts and leaves the bands null,
+    `none` only gives the bands. A null text has nulls; an empty one ratio 0 and, if counted, 0 words. Whole texts are read,
     however long. An empty table gives no rows; repeated rows each have theirs; other columns are ignored.
     """
     schema = "doc_id bigint, ratio double, chunk_ratio double, band string, words int, repeated_words int"
@@ -124,7 +124,7 @@ def repetition(documents: DataFrame, exact: str = "suspicious") -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = repetition(table(spark, folder, "documents"))
+    rows = repetition(table(spark, folder, "documents"), "all")
     return rows.where((F.col("words") > 0) & (F.col("repeated_words") >= FOUND * F.col("words"))).select("doc_id")
 
 

@@ -255,3 +255,22 @@ def test_repetition(spark):
             assert (x["words"], x["repeated_words"]) == b and x["band"] in ("suspicious", "repetitive")
     assert repetition.repetition(df.limit(0)).count() == 0
     assert {x["doc_id"] for x in repetition.repetition(df, "all").where("words is null").collect()} == {0}
+
+
+def test_list_like_repetition_is_found(spark, tmp_path):
+    r = random.Random(8)
+    texts = []
+    for n in (60, 250, 400, 900):
+        items = [f"{''.join(r.choice('abcdefghijklmnoprstuvw') for _ in range(6))} {r.randrange(1000, 10000)}" for _ in range(n)]
+        twice = items[: n // 5]
+        rest = items[n // 5 :]
+        for k in range(0, len(twice) - 2, 3):  # six words, standing twice
+            rest.insert(r.randrange(len(rest)), " ".join(twice[k : k + 3]))
+        texts.append(" ".join(twice + rest))
+    shares = [b / a for a, b in map(_brute, texts)]
+    assert min(shares) >= 0.3
+    packer = repetition.compressor()
+    assert "ordinary" in {repetition.bands(t, packer)[2] for t in texts}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(x["doc_id"] for x in repetition.p9_found(spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
+    assert all((x["words"], x["repeated_words"]) == _brute(texts[x["doc_id"]]) for x in repetition.repetition(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect())
