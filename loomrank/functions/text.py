@@ -156,8 +156,18 @@ def deltas(ids: Column) -> Column:
     return F.transform(ids, lambda x, i: x - F.coalesce(F.get(ids, i - 1), F.lit(0)))
 
 
-def undeltas(gaps: Column) -> Column:
-    """The numbers of which deltas() gives the differences."""
-    start = F.struct(F.lit(0).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("all"))
+def _sums(gaps: Column, first: Column) -> Column:
+    start = F.struct(first.cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("all"))
     add = lambda a, g: F.struct((a["last"] + g).alias("last"), F.array_append(a["all"], a["last"] + g).alias("all"))
     return F.aggregate(gaps, start, add, lambda a: a["all"])
+
+
+def undeltas(gaps: Column, length: int = 256) -> Column:
+    """The numbers of which deltas() gives the differences.
+
+    Appending copies the list so far; pieces of `length` numbers keep that short.
+    """
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size(gaps), F.lit(1)), F.lit(length)), lambda k: F.slice(gaps, k, length))
+    totals = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0).cast("bigint"), lambda a, g: a + g))
+    before = F.slice(F.concat(F.array(F.lit(0).cast("bigint")), _sums(totals, F.lit(0))), F.lit(1), F.size(totals))
+    return F.flatten(F.zip_with(pieces, before, _sums))

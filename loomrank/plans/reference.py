@@ -182,6 +182,32 @@ def delta_decode(s, d):
     return _told(_gaps(s, d).select("word_val", "segment", text.undeltas(F.col("gaps")).alias("ids")), "ids")
 
 
+def _lists_of_all(s, d):
+    """(word_val, tier, freq, segment, items): the title, category and high list of every word, and its low lists by freq."""
+    freq = F.when(F.col("tier") == "low", F.col("freq").cast("string"))
+    rows = _tiered(s, d).select(F.concat_ws("|", F.col("word_val").cast("string"), "tier", freq).alias("k"), "page_id", F.lit(0).alias("load"))
+    lists = skew.per_key_lists(rows, "k", "page_id", "load", F.col("page_id"))
+    part = lambda i: F.get(F.split("k", r"\|"), F.lit(i))
+    return lists.select(part(0).cast("bigint").alias("word_val"), part(1).alias("tier"), part(2).cast("int").alias("freq"), "segment", "items")
+
+
+def _gaps_of_all(s, d):
+    return _lists_of_all(s, d).withColumn("gaps", text.deltas(F.col("items"))).drop("items")
+
+
+def delta_encode_lists(s, d):
+    """delta_encode over the lists of all tiers. Every list starts anew, also the low ones, whose gaps the reference carries on from freq to freq."""
+    return _told(_gaps_of_all(s, d), "gaps")
+
+
+def delta_decode_lists(s, d):
+    return _told(_gaps_of_all(s, d).withColumn("ids", text.undeltas(F.col("gaps"))).drop("gaps"), "ids")
+
+
+def delta_backlinks(s, d):
+    return _told(links.backlinks(table(s, d, "edges")).select("dst", "segment", text.deltas(F.col("items")).alias("gaps")), "gaps")
+
+
 def varint_encode(s, d):
     return table(s, d, "edges").where("dst is not null").select(F.col("dst").alias("n")).distinct().withColumn("bytes", F.lower(F.hex(codec.varint("n"))))
 
@@ -331,8 +357,8 @@ def engine(s, d):
 QUERIES = {f.__name__: f for f in (
     scan_pages, page_count, page_id_offsets, extract_title, extract_text, redirect_filter, ascii_lower, tokenize, porter_measure, stem, word_hash,
     word_unhash, title_hash, stop_stems, tokens_nostop, term_freq, posting_pack, posting_tier, inverted_index, low_lists, dictionary, posting_lists,
-    nested_lists, doc_freq, title_offsets, delta_encode, delta_decode, varint_encode, varint_round_trip, extract_links, title_dict, resolve_links,
-    unresolved_links, page_edges, edges, out_degree, backlinks, corpus_stats, pagerank_init, parse_query, lookup_exact, lookup_lower_bound,
+    nested_lists, doc_freq, title_offsets, delta_encode, delta_decode, delta_encode_lists, delta_decode_lists, delta_backlinks, varint_encode, varint_round_trip,
+    extract_links, title_dict, resolve_links, unresolved_links, page_edges, edges, out_degree, backlinks, corpus_stats, pagerank_init, parse_query, lookup_exact, lookup_lower_bound,
     lookup_postings, merge_high_list, idf_weight, intersect_two, intersect_pages, conjunctive_search, rank_list, fetch_title, engine,
 )}
 QUERIES |= {f"{f}_tokens": _field_tokens(f) for f in ("title", "body", "category")}

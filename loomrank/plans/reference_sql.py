@@ -134,6 +134,7 @@ def _topk(query: str) -> str:
 
 
 _LISTS = "(SELECT word_val, 0 AS segment, list(page_id ORDER BY page_id) AS ids FROM (SELECT DISTINCT word_val, page_id FROM postings WHERE word_val IS NOT NULL AND tier = 'high') GROUP BY word_val)"
+_LISTS_OF_ALL = f"WITH {POSTINGS}, l AS (SELECT word_val, tier, f AS freq, 0 AS segment, list(page_id ORDER BY page_id) AS ids FROM (SELECT *, CASE WHEN tier = 'low' THEN freq END AS f FROM p) GROUP BY word_val, tier, f)"
 _COUNTS = "SELECT page_id, word, count(*) AS n FROM tokens WHERE field = '{}' GROUP BY ALL"
 _INDEX = "SELECT stem, tier, 0 AS segment, count(*) AS n, string_agg(page_id || ':' || freq, ',' ORDER BY page_id) AS items FROM (SELECT stem, CASE WHEN tier = 'low' THEN 'low' || freq ELSE tier END AS tier, page_id, freq FROM tiers) GROUP BY stem, tier"
 
@@ -170,6 +171,9 @@ UNION ALL SELECT word_val, 'low', unnest(ids), f FROM (SELECT word_val, unnest(l
     "title_offsets": f"WITH {PAGES} SELECT page_id, size, CAST(coalesce(sum(size) OVER (PARTITION BY file_name ORDER BY seq, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS title_offset FROM (SELECT page_id, file_name, seq, CAST(strlen(title) + 1 AS BIGINT) AS size FROM raw JOIN pages USING (page_id))",
     "delta_encode": f"SELECT word_val, segment, array_to_string(list_transform(ids, lambda x, i: x - coalesce(ids[i - 1], 0)), ',') AS gaps FROM {_LISTS}",
     "delta_decode": f"SELECT word_val, segment, array_to_string(ids, ',') AS ids FROM {_LISTS}",
+    "delta_encode_lists": f"{_LISTS_OF_ALL} SELECT word_val, tier, freq, segment, array_to_string(list_transform(ids, lambda x, i: x - coalesce(ids[i - 1], 0)), ',') AS gaps FROM l",
+    "delta_decode_lists": f"{_LISTS_OF_ALL} SELECT word_val, tier, freq, segment, array_to_string(ids, ',') AS ids FROM l",
+    "delta_backlinks": f"WITH {EDGES}, l AS (SELECT dst, list(src ORDER BY src) AS ids FROM e GROUP BY dst) SELECT dst, 0 AS segment, array_to_string(list_transform(ids, lambda x, i: x - coalesce(ids[i - 1], 0)), ',') AS gaps FROM l",
     "varint_encode": """SELECT n, lower(array_to_string(list_transform(list_filter(range(0, 9), lambda i: i = 0 OR n >= (1::BIGINT << (7 * i)::INTEGER)), lambda i: printf('%02x',
 CAST(((n >> (7 * i)::INTEGER) & 127) * 2 + CASE WHEN n >= (1::BIGINT << (7 * (i + 1))::INTEGER) THEN 1 ELSE 0 END AS INTEGER))), '')) AS bytes FROM (SELECT DISTINCT dst AS n FROM edges WHERE dst IS NOT NULL)""",
     "varint_round_trip": "SELECT DISTINCT dst - src AS n, dst - src AS back FROM edges WHERE dst IS NOT NULL",
