@@ -151,17 +151,21 @@ def subtrees(text: str | None) -> list[tuple[int, int, int]]:
     if not text or ("<" not in text and "{" not in text):
         return []
     out, stack = [], []
+    places: dict[str, list[int]] = {}  # where in stack each element name is open
     for m in NODE.finditer(text):
         name = (m[2] or "").lower() or {"{{": "t", "}}": "t", "{|": "w", "|}": "w"}[m[0]]
         if m[1] == "/" or m[4]:
-            at = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 65), -1) if stack[i][0] == name), None)
-            if at is not None:
+            if places.get(name):
+                at = places[name][-1]
                 start = stack[at][1]
+                for inner, _ in stack[at:]:
+                    places[inner].pop()
                 del stack[at:]
                 source = text[start : m.end()]
                 if sum(map(str.isalpha, source)) >= SUBTREE_LETTERS:
                     out.append((start, m.end(), xxhash.xxh64_intdigest(BLANKS.sub(" ", source).casefold()) - 2**63))
         else:
+            places.setdefault(name, []).append(len(stack))
             stack.append((name, m.start()))
     return out
 

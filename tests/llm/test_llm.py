@@ -155,6 +155,14 @@ def test_clean_takes_very_long_and_broken_texts():
         assert markup.clean(text) is not None and markup.subtrees(text) == []
 
 
+@pytest.mark.parametrize("unclosed", ["<p>", "<span>", "{{", "<ul><p>"])
+def test_subtree_with_many_unclosed_elements(unclosed):
+    block = f"<div>{unclosed * 200} Home pages and contents</div>"
+    text = f"a {block} <p>the words after that</p> {block}"
+    found = markup.subtrees(text)
+    assert [text[a:b] for a, b, _ in found] == [block, "<p>the words after that</p>", block] and found[0][2] == found[2][2]
+
+
 def test_furniture_is_removed(spark):
     menu = '<div class="menu"><p>Home pages and contents</p></div>'
     rows = [(i, f"T{i}", f"{menu} Text {i} <div>Only {i} has this one text</div>", "xa", None, "h") for i in range(30)] + [(100 + i, "T", f"{menu} Text", "xb", None, "h") for i in range(3)]
