@@ -256,9 +256,7 @@ def clean(text: str | None, kinds: list[str] | None = None) -> str | None:
         t = BULLET.sub(lambda m: "  " * (len(m[1]) - 1) + "- ", t)
     if "  " in t or "\t" in t or " \n" in t:
         t = LATER_BLANKS.sub(" ", TRAILING.sub("", t))
-    for _ in range(3):  # code may stand within a held formula or table
-        if "\x00" not in t:
-            break
+    while HELD.search(t):  # a held piece may hold earlier ones
         t = HELD.sub(lambda m: held[int(m[1])], t)
     return (EMPTY_LINES.sub("\n\n", t) if "\n\n\n" in t else t).strip()
 
@@ -292,7 +290,7 @@ def _link(m: re.Match) -> str:
 
 
 def _wiki(t: str) -> str:
-    for _ in range(40):  # inside out; deeper nesting is left as it stands
+    while True:  # inside out; each pass takes brackets or braces away
         new = WIKI_LINK.sub(_link, t)
         new = WIKI_TEMPLATE.sub("", INFOBOX.sub(_infobox, new))
         if new == t:
@@ -346,7 +344,7 @@ def _tex(t: str, hold) -> str:
     t = SECTION.sub(lambda m: f"\n{'#' * LEVEL[m[1]]} {m[2]}\n", t)
     t = TABULAR.sub(lambda m: "\n".join(" | ".join(c.strip() for c in row.split("&")) for row in re.split(r"\\\\", m[2]) if row.strip()), t)
     t = ITEM.sub(lambda m: f"- {m[1]}: " if m[1] else "- ", SILENT.sub("", t))
-    for _ in range(8):
+    while True:
         new = NOTE.sub(r" (\1)", STYLED.sub(r"\1", t))
         if new == t:
             break

@@ -155,6 +155,14 @@ def test_clean_takes_very_long_and_broken_texts():
         assert markup.clean(text) is not None and markup.subtrees(text) == []
 
 
+@pytest.mark.parametrize("text,want", [
+    ("{{a|" * 200 + "x" + "}}" * 200 + " end", "end"), ("\\emph{" * 30 + "x" + "}" * 30 + " end", "x end"),
+    ("\\foo{$$\\begin{align}\n`x y`\n\\end{align}$$} end", "$\\foo{$$$$\n`x y`\n$$$$}$ end"),
+])
+def test_clean_at_any_depth(text, want):
+    assert markup.clean(text) == want
+
+
 @pytest.mark.parametrize("unclosed", ["<p>", "<span>", "{{", "<ul><p>"])
 def test_subtree_with_many_unclosed_elements(unclosed):
     block = f"<div>{unclosed * 200} Home pages and contents</div>"
