@@ -21,7 +21,10 @@ from loomrank.sources.tables import saved, table
 
 #: Weight of the page's own model in the mixture.
 OWN = 0.5
-ROUNDS, TOLERANCE = 60, 1e-6
+#: A page has converged when no probability of it moves by this much in a round.
+TOLERANCE = 1e-6
+#: Rounds of the pages that are spread over tasks, each a job; these may end before they have converged.
+ROUNDS = 60
 #: Rows that one step of the vectorised model takes at least.
 BLOCK = 100_000
 FOUND = 80.0
@@ -30,20 +33,27 @@ _SCORED = "page_id bigint, word_val bigint, freq int, tier_no int, pages bigint,
 
 
 def maximise(start: np.ndarray, tf: np.ndarray, background: np.ndarray, own: float = OWN) -> np.ndarray:
-    """P(word | page) after convergence. start: where each page's rows begin; all rows of a page adjoin."""
+    """P(word | page) after convergence. start: where each page's rows begin; all rows of a page adjoin.
+
+    Every page stops by its own change, so that its scores do not depend on the pages beside it.
+    """
     if not len(tf):
         return np.zeros(0)
-    page = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(tf))))
+    out, rows, size = np.zeros(len(tf)), np.arange(len(tf)), np.diff(np.append(start, len(tf)))
+    page = np.repeat(np.arange(len(size)), size)
     share = lambda e: e / np.where((z := np.add.reduceat(e, start)) > 0, z, 1.0)[page]
     p, noise = share(tf), (1 - own) * background
-    for _ in range(ROUNDS):
+    while len(rows):
         mix = own * p
         below = mix + noise
         new = share(tf * np.divide(mix, below, out=np.zeros_like(mix), where=below > 0))
-        moved, p = np.abs(new - p).max(), new
-        if moved < TOLERANCE:
-            break
-    return p
+        going, p = np.maximum.reduceat(np.abs(new - p), start) >= TOLERANCE, new
+        if not going.all():
+            out[rows] = p
+            keep, size = going[page], size[going]
+            rows, p, tf, noise = rows[keep], p[keep], tf[keep], noise[keep]
+            page, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    return out
 
 
 def _pages(own: float):

@@ -87,6 +87,19 @@ def test_distinctive(spark, made, giants):
     assert distinctive.distinctive_words(df.limit(0)).collect() == []
 
 
+def test_every_page_converges_by_itself():
+    r = np.random.default_rng(1)
+    sizes = [3, 40, 1, 7, 120, 2]
+    tf, background = r.integers(0, 12, sum(sizes)).astype(float), r.random(sum(sizes)) / 400
+    start = np.cumsum(sizes) - sizes
+    p = distinctive.maximise(start, tf, background)
+    for a, n in zip(start, sizes):
+        own, t, b = p[a : a + n], tf[a : a + n], background[a : a + n]
+        assert (distinctive.maximise(np.array([0]), t, b) == own).all()
+        e = t * own / np.where(own + b > 0, own + b, 1)
+        assert np.abs(e / (e.sum() or 1) - own).max() < distinctive.TOLERANCE
+
+
 def test_top_n(spark):
     r = random.Random(2)
     rows = [(r.choice([1, 1, 1, 2, 3]), i, r.choice([0.5, 1.0, r.random(), None, math.nan]), 0) for i in range(3000)] + [(None, 1, 1.0, 0), (9, 5, 2.0, 0), (9, 5, 2.0, 0)]
