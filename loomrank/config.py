@@ -26,9 +26,12 @@ class EngineConfig:
     results: int = 10
     damping: float = 0.85
     stop_residual: float = 1e-12
-    most_rounds: int = 100
+    #: Words are stemmed with steps 2 and 4 as well.
+    full_stemmer: bool = False
     #: An unknown query word becomes the next word of the dictionary by its number, as a lower-bound search would find it.
     lower_bound: bool = False
+    #: With lower_bound: a query word that would become the first word of the dictionary is dropped from the query.
+    drop_first_word: bool = False
     #: t: and c: restrict a query word to title, and to title and category postings.
     enforce_fields: bool = False
     #: Postings of low frequency take part in the search.

@@ -7,22 +7,26 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WRAP = "18446744073709551616"  # 2**64
-#: Words whose stem is that of "category"; such a word after "[" opens a category name.
-CATEGORY_FORMS = ("category", "categorys", "categori", "categoris", "categorie", "categories", "categoried", "categorying", "categoryed")
-CATEGORY = "(?:" + "|".join(sorted(CATEGORY_FORMS, key=len, reverse=True)) + ")(?![a-z])"
+#: The words whose stem is that of "category", by the suffixes that the steps of stem() take off; such a word after "["
+#: opens a category name. A word before -ed may not end in e, as -eed stays; one that ends in s takes -es, and a doubled y is halved.
+CATEGORY = "categor(?:(?:ie|ie?ative)(?:ing)?s?|(?:y|i|ie?ful)(?:ing|ed)?s?|yy(?:ing|ed)s?|ie?ness(?:(?:ing|ed)s?|es)?)(?![a-z])"
+
+
+def is_category(word: Column) -> Column:
+    return word.startswith("categor") & word.rlike(f"^{CATEGORY}")
 
 
 def ascii_lower(s: Column) -> Column:
-    """A-Z in lower case, every other character as it is."""
-    return F.translate(s, UPPER, LOWER)
+    """A-Z in lower case, every other character as it is. The built-in does it for ASCII texts, at a fraction of the cost."""
+    return F.when(F.octet_length(s) == F.length(s), F.lower(s)).otherwise(F.translate(s, UPPER, LOWER))
 
 
 def letter_runs(s: Column, most: int) -> Column:
-    """The maximal runs of ASCII letters in lower case, each cut to `most` letters."""
-    return F.transform(F.regexp_extract_all(ascii_lower(s), F.lit("[a-z]+"), F.lit(0)), lambda w: F.substring(w, 1, most))
+    """The maximal runs of ASCII letters of a lower-case text, each cut to `most` letters."""
+    return F.transform(F.regexp_extract_all(s, F.lit("[a-z]+"), F.lit(0)), lambda w: F.substring(w, 1, most))
 
 
-# -- stemming: suffix steps 1a, 1b, 1c, 3 and 5 of the Porter algorithm
+# -- stemming: suffix steps 1a, 1b, 1c, 3 and 5 of the Porter algorithm, and 2 and 4 on demand
 
 
 def shape(word: Column) -> Column:
@@ -77,15 +81,39 @@ def _step_y(w: Column, s: Column) -> Column:
     return F.when(w.endswith("y") & _cut(s, 1).contains("V"), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w)
 
 
-#: Suffix and what replaces it where the rest has a measure above 0.
+# The suffixes of steps 2, 3 and 4. In steps 2 and 3, what replaces the suffix where the rest has a measure
+# above 0; in step 4 it goes where that is above 1. Of several suffixes that fit, the first here is tried and no other.
+SECOND = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
+    "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+    "logi": "log",
+}
 THIRD = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+FOURTH = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "sion", "tion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+
+def _replacing(suffixes: dict[str, str]):
+    """A step that looks for suffixes in their order and replaces the first that fits, if the rest has a measure above 0."""
+
+    def step(w: Column, s: Column) -> Column:
+        out = w
+        for suffix, new in reversed(suffixes.items()):
+            n = len(suffix)
+            out = F.when(w.endswith(suffix), F.when(measure(_cut(s, n)) > 0, F.concat(_cut(w, n), F.lit(new))).otherwise(w)).otherwise(out)
+        return out
+
+    return step
+
+
+_step_second, _step_third = _replacing(SECOND), _replacing(THIRD)
 
 
-def _step_third(w: Column, s: Column) -> Column:
+def _step_fourth(w: Column, s: Column) -> Column:
+    """Of -sion and -tion only -ion goes."""
     out = w
-    for suffix, new in THIRD.items():
-        n = len(suffix)
-        out = F.when(w.endswith(suffix) & (measure(_cut(s, n)) > 0), F.concat(_cut(w, n), F.lit(new))).otherwise(out)
+    for suffix in reversed(FOURTH):
+        n = 3 if suffix in ("sion", "tion") else len(suffix)
+        out = F.when(w.endswith(suffix), F.when(measure(_cut(s, n)) > 1, _cut(w, n)).otherwise(w)).otherwise(out)
     return out
 
 
@@ -96,20 +124,21 @@ def _step_last(w: Column, s: Column) -> Column:
     return F.when(no_e.endswith("ll") & (m > 1), _cut(no_e, 1)).otherwise(no_e)
 
 
-def stem(word: Column) -> Column:
-    """The stem of a lower-case ASCII word; words of one or two letters stay as they are.
+def stem(word: Column, full: bool = False) -> Column:
+    """The stem of a lower-case ASCII word; words of one or two letters stay as they are. full: with steps 2 and 4.
 
-    Every step only cuts letters off, or puts an e or i at the end, both vowels wherever they stand. So the shape is
-    computed once, and cut and mended along; one-element arrays keep each step's result from being computed again.
+    Steps 1, 3 and 5 only cut letters off, or put an e or i at the end, both vowels wherever they stand. So the shape is
+    computed once, and cut and mended along; step 2 puts other letters there, and the shape is computed again. One-element
+    arrays keep each step's result from being computed again.
     """
     mended = lambda w, s: F.when(F.right(w, F.lit(1)).isin("e", "i"), F.concat(_cut(F.left(s, F.length(w)), 1), F.lit("V"))).otherwise(F.left(s, F.length(w)))
     pair = lambda w, s: F.struct(w.alias("w"), s.alias("s"))
     x = F.array(pair(_step_plural(word), shape(word)))
     mend = lambda p: pair(p["w"], mended(p["w"], p["s"]))
     x = F.transform(x, mend)
-    for step in (_step_past, _step_y, _step_third):
+    for step in (_step_past, _step_y, *((_step_second,) if full else ()), _step_third, *((_step_fourth,) if full else ())):
         x = F.transform(x, (lambda f: lambda p: pair(f(p["w"], p["s"]), F.concat(p["s"], F.lit("V"))))(step))
-        x = F.transform(x, mend)
+        x = F.transform(x, mend if step not in (_step_second, _step_third) or not full else lambda p: pair(p["w"], shape(p["w"])))
     x = F.transform(x, lambda p: _step_last(p["w"], p["s"]))
     return F.when(F.length(word) <= 2, word).otherwise(F.element_at(x, 1))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomrank.config import DEFAULT, EngineConfig
 from loomrank.functions.text import ascii_lower, title_number
 from loomrank.operators import skew
+from loomrank.sources.tables import saved
 
 #: A media prefix takes only itself, so that links within a caption are found; an unclosed link gives nothing.
 LINK = r"(?s)\[\[(?:(?:Image|File):|(.*?)(?:\||\]\]))"
@@ -30,8 +31,9 @@ def title_dict(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 
 
 def _targets(links: DataFrame, pages: DataFrame, cfg: EngineConfig) -> DataFrame:
-    keyed = links.withColumn("title_key", _key("target", cfg))
-    return skew.skew_join(keyed, title_dict(pages, cfg).withColumnRenamed("page_id", "dst"), "title_key", "left")
+    """links with their dst. Both sides are saved first: links, as sketch and join need them, and titles, whose number decides the join."""
+    keyed = saved(links.withColumn("title_key", _key("target", cfg)), "links")
+    return skew.lookup(keyed, saved(title_dict(pages, cfg).withColumnRenamed("page_id", "dst"), "title_keys"), "title_key", "left")
 
 
 def resolve_links(links: DataFrame, pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:

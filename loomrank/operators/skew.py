@@ -13,31 +13,37 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomrank.sources.tables import BROADCAST_ROWS, local_table, saved
+
 #: Groups of partitions that merge their sketches before the last merge.
 SKETCH_GROUPS = 64
 #: Frequent-items sketches of m counters err by at most 3.5 / m of all rows.
 SKETCH_ERROR = 3.5
-MOST_TRACKED = 1_000_000
+#: Below this share the sketch would need more counters than it may have.
+LEAST_SHARE = 2e-5
 #: Fewer rows than this are no burden for a task, whatever their share.
 LEAST_ROWS = 10_000
 
 
 def heavy_share(spark: SparkSession) -> float:
     """The share of rows above which a key is heavy: half of a shuffle partition, 1 % at most."""
-    return min(0.01, max(1e-5, 0.5 / int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return min(0.01, max(LEAST_SHARE, 0.5 / int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def heavy_keys(df: DataFrame, key: str, share: float | None = None, least: int = LEAST_ROWS) -> DataFrame:
     """(key, estimate): every key with at least `share` of the rows of df with a key, and at least `least` rows.
 
     The sketch keeps enough counters that its error stays below a quarter of `share`, so no such key
-    is missed; keys slightly below may be reported too. Null keys are never heavy: no operator here
-    groups by them. An empty df gives an empty table.
+    is missed; keys slightly below may be reported too. A share below LEAST_SHARE is refused. Null keys are
+    never heavy: no operator here groups by them. An empty df gives an empty table. The table is local, so that
+    where no key is heavy the planner drops the branches for heavy keys.
     """
     spark = df.sparkSession
     share = share or heavy_share(spark)
+    if share < LEAST_SHARE:
+        raise ValueError(f"share must be {LEAST_SHARE} at least")
     most = math.ceil(2 / share)
-    tracked = min(MOST_TRACKED, max(most, math.ceil(4 * SKETCH_ERROR / share)))
+    tracked = max(most, math.ceil(4 * SKETCH_ERROR / share))
     parts = (
         df.where(F.col(key).isNotNull())
         .select(F.col(key).alias("k"), F.expr(f"pmod(spark_partition_id(), {SKETCH_GROUPS})").alias("g"))
@@ -46,10 +52,10 @@ def heavy_keys(df: DataFrame, key: str, share: float | None = None, least: int =
     )
     # one group, so that no rows give no sketch
     whole = parts.groupBy(F.col("g") < 0).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n"))
-    got = whole.select(F.expr(f"approx_top_k_estimate(s, {min(most, tracked)})").alias("top"), "n").first()
+    got = whole.select(F.expr(f"approx_top_k_estimate(s, {most})").alias("top"), "n").first()
     found = [(x["item"], x["count"]) for x in got["top"] if x["count"] >= 0.75 * max(share * got["n"], least)] if got else []
     kind = df.schema[key].dataType.simpleString()
-    return spark.createDataFrame(found, f"`{key}` {kind}, estimate bigint")
+    return local_table(spark, found, f"`{key}` {kind}, estimate bigint")
 
 
 def split(df: DataFrame, key: str, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,6 +124,16 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", h
     return hot.unionByName(left.join(keys, key, "left_anti").join(right, key, how))
 
 
+def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """skew_join with a right side that was computed before (saved or local): broadcast where it has BROADCAST_ROWS rows at most.
+
+    Both ways give the same rows. Columns, nulls and how as in skew_join.
+    """
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(_renamed(left, right, key)), key, how)
+    return skew_join(left, right, key, how)
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, record: str, heavy: DataFrame | None = None) -> DataFrame:
     """Inner join on key where right may hold several rows per key and a few keys hold most rows of left.
 
@@ -127,7 +143,7 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, record: str, heavy:
     """
     right = _renamed(left, right, key)
     heavy = heavy_keys(left, key) if heavy is None else heavy
-    least = heavy.agg(F.min("estimate")).first()[0]
+    least = min((r["estimate"] for r in heavy.collect()), default=None)  # heavy keys are few
     if least is None:
         return left.join(right, key)
     salts = F.broadcast(heavy.select(key, F.ceil(2 * F.col("estimate") / F.lit(least)).cast("int").alias("_salts")))
@@ -143,8 +159,6 @@ def running_sum(df: DataFrame, group: str, order: list[Column], weight: Column,
     A group may be of any size: rows are range-partitioned by (group, order), summed within each range,
     and the sums of earlier ranges, a row per group and range, are added.
     """
-    from loomrank.sources.tables import saved
-
     parts = saved(df.withColumn("_w", weight).repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

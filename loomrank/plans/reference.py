@@ -15,7 +15,7 @@ from loomrank.operators import index, links, pagerank, search, skew
 from loomrank.operators.postings import TIERS, distinct_postings
 from loomrank.plans.reference_sql import SQL as _SQL
 from loomrank.sources import dump
-from loomrank.sources.tables import saved, table
+from loomrank.sources.tables import local_table, new_path, saved, settled, table
 
 SQL = dict(_SQL)
 ROUNDS = 4
@@ -51,8 +51,20 @@ def extract_text(s, d):
     return _records(s, d).select("page_id", dump.text_of(F.col("raw")).alias("text"))
 
 
+def dump_round_trip(s, d):
+    """The records written as XML files in the order of file_name and seq, read back and numbered."""
+    path, rows = new_path(s, "dump"), _records(s, d)
+    rows.repartitionByRange("file_name", "seq", "page_id").sortWithinPartitions("file_name", "seq", "page_id").select(F.concat("raw", F.lit("\n"))).write.text(path)
+    return dump.numbered(dump.read_dump(s, path, "part-*")).select("page_id", "title", F.length("text").alias("text_length"))
+
+
 def redirect_filter(s, d):
-    """Pages whose text does not begin with #."""
+    """Pages whose text group, the attributes of its tag included, does not begin with #."""
+    return _pages(s, d).where(~F.col("text").startswith("#")).select("page_id")
+
+
+def redirect_plain(s, d):
+    """Pages whose text without a tag does not begin with #."""
     return table(s, d, "page").where(~F.coalesce("text", F.lit("")).startswith("#")).select("page_id").distinct()
 
 
@@ -62,7 +74,7 @@ def ascii_lower(s, d):
 
 def tokenize(s, d):
     t = table(s, d, "documents").where("text is not null")
-    return t.select("doc_id", F.explode(text.letter_runs(F.col("text"), 63)).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return t.select("doc_id", F.explode(text.letter_runs(text.ascii_lower(F.col("text")), 63)).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 def _vocabulary(s, d):
@@ -78,6 +90,10 @@ def stem(s, d):
     return _vocabulary(s, d).select("word", text.stem(F.col("word")).alias("stem"))
 
 
+def stem_full(s, d):
+    return _vocabulary(s, d).select("word", text.stem(F.col("word"), True).alias("stem"))
+
+
 def word_hash(s, d):
     return _vocabulary(s, d).select("word", text.word_number(F.col("word")).cast("string").alias("number"))
 
@@ -111,6 +127,18 @@ def posting_pack(s, d):
     return index.term_freq(_pages(s, d)).select("stem", "page_id", index.posting_pack().alias("payload"))
 
 
+def posting_unpack(s, d):
+    """The numbers of posting_pack for the given postings, and what is unpacked from them."""
+    rows = _tiered(s, d).where("freq is not null").select("word_val", "page_id", "freq", (F.col("tier") == "title").alias("in_title"), (F.col("tier") == "category").alias("in_category"))
+    freq, title, category = index.posting_unpack(F.col("payload"))
+    return rows.select("word_val", "page_id", index.posting_pack().alias("payload")).select("word_val", "page_id", "payload", freq.alias("freq"), title.alias("in_title"), category.alias("in_category"))
+
+
+def vocabulary_size(s, d):
+    """(words, postings) of the index over page."""
+    return index.dictionary(index.postings_of(_pages(s, d))).agg(F.count("*").alias("words"), F.sum("pages").alias("postings"))
+
+
 def posting_tier(s, d):
     return index.postings_of(_pages(s, d)).select("stem", "page_id", "freq", "tier")
 
@@ -130,7 +158,7 @@ def low_lists(s, d):
 
 
 def dictionary(s, d):
-    return index.dictionary(index.postings_of(_pages(s, d)))
+    return index.dictionary(index.postings_of(_pages(s, d))).select("stem", "pages", "searchable")
 
 
 def _tiered(s, d):
@@ -208,13 +236,58 @@ def delta_backlinks(s, d):
     return _told(links.backlinks(table(s, d, "edges")).select("dst", "segment", text.deltas(F.col("items")).alias("gaps")), "gaps")
 
 
+def _hex(c):
+    return F.lower(F.hex(c))
+
+
+def _links_to(s, d):
+    return table(s, d, "edges").where("dst is not null")
+
+
 def varint_encode(s, d):
-    return table(s, d, "edges").where("dst is not null").select(F.col("dst").alias("n")).distinct().withColumn("bytes", F.lower(F.hex(codec.varint("n"))))
+    return _links_to(s, d).select(F.col("dst").alias("n")).distinct().withColumn("bytes", _hex(codec.varint("n")))
+
+
+def signed_encode(s, d):
+    return _links_to(s, d).select((F.col("dst") - F.col("src")).alias("n")).distinct().withColumn("bytes", _hex(codec.signed("n")))
 
 
 def varint_round_trip(s, d):
-    rows = table(s, d, "edges").where("dst is not null").select((F.col("dst") - F.col("src")).alias("n")).distinct()
-    return rows.withColumn("back", codec.unsigned(codec.signed("n")))
+    """Numbers of every size and sign, squares of distances in the graph among them, through both encodings."""
+    far = F.col("dst") - F.col("src")
+    rows = _links_to(s, d).select(far.alias("n")).union(_links_to(s, d).select(far * far * far)).distinct()
+    return rows.withColumn("back", codec.unsigned(codec.signed("n"))).withColumn("plain", codec.unvarint(codec.varint("n")))
+
+
+def byte_encode(s, d):
+    rows = table(s, d, "postings").select("freq").distinct()
+    return rows.withColumn("bytes", _hex(codec.byte(F.col("freq")))).withColumn("back", codec.unbyte(codec.byte(F.col("freq"))))
+
+
+def short_encode(s, d):
+    rows = table(s, d, "documents").select("n_chars").distinct()
+    return rows.withColumn("bytes", _hex(codec.short(F.col("n_chars")))).withColumn("back", codec.unshort(codec.short(F.col("n_chars"))))
+
+
+def double_round_trip(s, d):
+    rows = table(s, d, "pageranks").where("pr is null or not isnan(pr)").select("pr").distinct()
+    return rows.withColumn("size", F.octet_length(codec.double("pr"))).withColumn("back", codec.undouble(codec.double("pr")))
+
+
+def packed_words(s, d):
+    return _vocabulary(s, d).withColumn("bytes", _hex(codec.packed_word(F.col("word")))).withColumn("back", codec.unpacked_word(codec.packed_word(F.col("word"))))
+
+
+def text_encode(s, d):
+    rows = table(s, d, "page").select("title").distinct()
+    return rows.withColumn("bytes", _hex(codec.text_bytes(F.col("title")))).withColumn("back", codec.text_of_bytes(codec.text_bytes(F.col("title"))))
+
+
+def backlink_bytes(s, d):
+    """The lists of back-links as bytes, and the offset of each where they stand one after another in the order of dst."""
+    rows = links.backlinks(table(s, d, "edges")).select("dst", "segment", codec.gaps("items").alias("bytes"), F.lit(0).alias("file"))
+    at = skew.running_sum(rows, "file", [F.col("dst"), F.col("segment")], F.octet_length("bytes").cast("bigint"), "byte_offset")
+    return at.select("dst", "segment", _hex("bytes").alias("bytes"), "byte_offset")
 
 
 def extract_links(s, d):
@@ -268,45 +341,66 @@ def _ranks(rounds):
     return run
 
 
+def pagerank_residuals(s, d):
+    """(round, residual): the sum of squared changes of every round."""
+    seen: list[float] = []
+    pagerank.pagerank(table(s, d, "edges"), table(s, d, "page"), residuals=seen)
+    return local_table(s, [(i, round(r, 12)) for i, r in enumerate(seen)], "round int, residual double")
+
+
 def parse_query(s, d):
     return search.parse_query(table(s, d, "queries"))
 
 
 def _dictionary_terms(s, d):
-    return _tiered(s, d).select(text.word_of_number(F.col("word_val")).alias("stem")).distinct()
+    words = table(s, d, "postings").where("word_val is not null and page_id is not null").select("word_val").distinct()
+    return saved(words.select("word_val", text.word_of_number(F.col("word_val")).alias("stem")), "words")
 
 
 def lookup_exact(s, d):
     terms = search.parse_query(table(s, d, "queries")).select("query_id", "pos", "stem")
-    return terms.join(_dictionary_terms(s, d), "stem", "left_semi").select("query_id", "pos", "stem")
+    return skew.lookup(terms, _dictionary_terms(s, d), "stem").select("query_id", "pos", "stem")
 
 
 def lookup_lower_bound(s, d):
     return search.next_words(search.parse_query(table(s, d, "queries")), _dictionary_terms(s, d)).select("query_id", "pos", "stem")
 
 
+def lookup_first_dropped(s, d):
+    """lookup_lower_bound without terms that became the first word of the dictionary, for queries and the words before them."""
+    terms = search.parse_query(table(s, d, "queries"))
+    terms = terms.unionByName(terms.withColumn("pos", F.col("pos") + 1000).withColumn("stem", F.concat(F.lit("a"), F.left("stem", F.lit(1)))))
+    return search.next_words(terms, _dictionary_terms(s, d), drop_first=True).select("query_id", "pos", "stem")
+
+
 def _postings(s, d):
-    return _tiered(s, d).withColumn("stem", text.word_of_number(F.col("word_val"))).withColumn("freq", F.coalesce("freq", F.lit(0)))
+    """The given postings as an index; their number stands for the stem."""
+    return _tiered(s, d).select(F.col("word_val").alias("stem"), "page_id", F.coalesce("freq", F.lit(0)).alias("freq"), "tier")
 
 
 def _terms(s, d):
-    t = table(s, d, "query_terms").select("query_id", "pos", F.lit(7).alias("flags"), text.word_of_number(F.col("word_val")).alias("stem"))
+    t = table(s, d, "query_terms").select("query_id", "pos", F.lit(7).alias("flags"), F.col("word_val").alias("stem"))
     return t.where("query_id is not null and stem is not null")
 
 
+def _numbered(terms: DataFrame) -> DataFrame:
+    """Parsed terms with the number of their stem; above 13 letters none, as no word of the postings is so long."""
+    return terms.withColumn("stem", F.when(F.length("stem") <= 13, text.word_number(F.col("stem")).cast("bigint")))
+
+
 def lookup_postings(s, d):
     words = table(s, d, "query_terms").select("word_val").distinct()
     return _tiered(s, d).where("tier <> 'low'").join(words, "word_val", "left_semi")
 
 
 def merge_high_list(s, d):
-    return search.searchable(_postings(s, d)).select("word_val", "page_id", search.merged_weight().alias("weight"))
+    return search.searchable(_postings(s, d)).select(F.col("stem").alias("word_val"), "page_id", search.merged_weight().alias("weight"))
 
 
 def idf_weight(s, d):
-    found = search.hits(_terms(s, d), _postings(s, d)).select("query_id", "pos", "list_pages").distinct()
-    longest = found.groupBy("query_id").agg(F.max("list_pages").alias("longest"))
-    return found.join(longest, "query_id").select("query_id", "pos", "list_pages", F.expr("least(100, longest div list_pages)").alias("g"))
+    terms = settled(_terms(s, d), "terms")
+    lists = index.dictionary(search.named(_postings(s, d), "stem", terms, "stems"))
+    return search.weighted_terms(terms, lists).where("g is not null").select("query_id", "pos", "list_pages", "g")
 
 
 def intersect_two(s, d):
@@ -341,25 +435,74 @@ def fetch_title(s, d):
 
 def _searched(cfg: EngineConfig, query: str | None = None):
     def run(s, d):
-        queries = table(s, d, "queries") if query is None else s.createDataFrame([(0, query)], "query_id bigint, query_text string")
-        got = search.search_batch(queries, _postings(s, d), _usable(s, d), _pages(s, d), cfg)
+        queries = table(s, d, "queries") if query is None else local_table(s, [(0, query)], "query_id bigint, query_text string")
+        got = search.answer(_numbered(search.parse_query(queries, cfg)), _postings(s, d), _usable(s, d), _pages(s, d), cfg)
         return got.select("query_id", "rank", "page_id", "title", F.round("score", 9).alias("score"))
 
     return run
 
 
 def engine(s, d):
-    """The whole engine on the pages of the table: links, ranks, index, and all queries."""
-    e = search.Engine(s).build(saved(_pages(s, d), "pages"))
-    return e.search_batch(table(s, d, "queries"))
+    """The whole engine on the pages of the table: links, ranks, index, and all queries. Ranks are rounded, so that those
+    that are equal but for the order of a sum are equal."""
+    e = search.Engine(s).build(_pages(s, d))
+    e.ranks = e.ranks.select("page_id", F.round("pr", 12).alias("pr"))
+    return e.search_batch(table(s, d, "queries")).withColumn("score", F.round("score", 9))
+
+
+def _reloaded(s, d, *names: str):
+    """An engine of the given tables, saved and loaded again; names: those needed."""
+    tables = {"titles": lambda: _pages(s, d).select("page_id", "title"), "edges": lambda: links.distinct_edges(table(s, d, "edges")),
+              "degrees": lambda: links.out_degree(table(s, d, "edges"), table(s, d, "page")), "ranks": lambda: _usable(s, d),
+              "files": lambda: dump.first_ids(dump.delivered_once(table(s, d, "page"), "page_id", ["page_id", "file_name"]))}
+    rows = skew.lookup(_tiered(s, d), _dictionary_terms(s, d), "word_val").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    path = new_path(s, "index")
+    search.Engine(s, postings=rows.select("stem", "page_id", "freq", "tier"), **{n: tables[n]() for n in names}).save(path)
+    return search.Engine.load(s, path)
+
+
+def search_saved(s, d):
+    got = _reloaded(s, d, "titles", "ranks").search_batch(table(s, d, "queries"))
+    return got.select("query_id", "rank", "page_id", "title", F.round("score", 9).alias("score"))
+
+
+def saved_dictionary(s, d):
+    return _reloaded(s, d).dictionary.select("stem", "pages", "searchable", F.col("number").cast("string").alias("number"))
+
+
+def saved_postings(s, d):
+    return _reloaded(s, d).postings
+
+
+def saved_titles(s, d):
+    return _reloaded(s, d, "titles").titles
+
+
+def saved_degrees(s, d):
+    return _reloaded(s, d, "degrees").degrees
+
+
+def saved_backlinks(s, d):
+    return _reloaded(s, d, "edges").edges.select("dst", "src")
+
+
+def saved_ranks(s, d):
+    return _reloaded(s, d, "ranks").ranks
+
+
+def saved_page_stats(s, d):
+    return _reloaded(s, d, "files").files
 
 
 QUERIES = {f.__name__: f for f in (
-    scan_pages, page_count, page_id_offsets, extract_title, extract_text, redirect_filter, ascii_lower, tokenize, porter_measure, stem, word_hash,
-    word_unhash, title_hash, stop_stems, tokens_nostop, term_freq, posting_pack, posting_tier, inverted_index, low_lists, dictionary, posting_lists,
-    nested_lists, doc_freq, title_offsets, delta_encode, delta_decode, delta_encode_lists, delta_decode_lists, delta_backlinks, varint_encode, varint_round_trip,
-    extract_links, title_dict, resolve_links, unresolved_links, page_edges, edges, out_degree, backlinks, corpus_stats, pagerank_init, parse_query, lookup_exact, lookup_lower_bound,
-    lookup_postings, merge_high_list, idf_weight, intersect_two, intersect_pages, conjunctive_search, rank_list, fetch_title, engine,
+    scan_pages, dump_round_trip, page_count, page_id_offsets, extract_title, extract_text, redirect_filter, redirect_plain, ascii_lower, tokenize, porter_measure,
+    stem, stem_full, word_hash, word_unhash, title_hash, stop_stems, tokens_nostop, term_freq, posting_pack, posting_unpack, posting_tier, inverted_index, low_lists,
+    dictionary, vocabulary_size, posting_lists, nested_lists, doc_freq, title_offsets, delta_encode, delta_decode, delta_encode_lists, delta_decode_lists,
+    delta_backlinks, varint_encode, signed_encode, varint_round_trip, byte_encode, short_encode, double_round_trip, packed_words, text_encode, backlink_bytes,
+    extract_links, title_dict, resolve_links, unresolved_links, page_edges, edges, out_degree, backlinks, corpus_stats, pagerank_init, pagerank_residuals,
+    parse_query, lookup_exact, lookup_lower_bound, lookup_first_dropped, lookup_postings, merge_high_list, idf_weight, intersect_two, intersect_pages,
+    conjunctive_search, rank_list, fetch_title, engine, search_saved, saved_dictionary, saved_postings, saved_titles, saved_degrees, saved_backlinks, saved_ranks,
+    saved_page_stats,
 )}
 QUERIES |= {f"{f}_tokens": _field_tokens(f) for f in ("title", "body", "category")}
 QUERIES |= {

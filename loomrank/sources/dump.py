@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomrank.operators import skew
+from loomrank.sources.tables import saved, spread
+
+#: What stands between `<text` and the text of a page in a dump, and is part of what is indexed.
+TEXT_TAG = ' xml:space="preserve">'
+
 
 def title_of(raw: Column) -> Column:
     """The title of a page record; '' if there is none."""
@@ -17,38 +24,41 @@ def text_of(raw: Column) -> Column:
 
 
 def read_dump(spark: SparkSession, path: str, names: str = "x*") -> DataFrame:
-    """(file_name, seq, raw): the page records of the XML files of a folder whose names match.
+    """(file_name, block, raw): the page records of the XML files of a folder whose names match.
 
-    Files are split at the end of a page, so that large files are read by many tasks. seq counts the pages of
-    a file from 0: by block of the file, then within the block. Text after the last page is dropped.
+    Files are split at the end of a page, so that large files are read by many tasks; block is where a task's part of
+    the file begins. Text after the last page is dropped. Within a block the order of the rows is that of the file.
     """
     lines = spark.read.option("lineSep", "</page>").option("pathGlobFilter", names).text(path)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    rows = lines.select(name.alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
-    rows = rows.where(F.col("raw").contains("<page"))
-    from pyspark.sql import Window
-
-    inside = Window.partitionBy("file_name", "block").orderBy("at")
-    sizes = rows.groupBy("file_name", "block").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = sizes.select("file_name", "block", before.alias("before"))
-    placed = rows.withColumn("place", F.row_number().over(inside) - 1).join(first, ["file_name", "block"])
-    return placed.select("file_name", (F.col("place") + F.col("before")).alias("seq"), "raw")
+    rows = lines.select(name.alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"))
+    return rows.where(F.col("raw").contains("<page"))
 
 
 def first_ids(pages: DataFrame) -> DataFrame:
     """(file_name, first_id): the number of each file's first page, counting from 1 in the order of file names."""
-    from pyspark.sql import Window
-
     sizes = pages.groupBy("file_name").agg(F.count("*").alias("n"))
     before = Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return sizes.select("file_name", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1).alias("first_id"))
 
 
 def numbered(records: DataFrame) -> DataFrame:
-    """(page_id, title, text) of the records of read_dump, numbered over files."""
-    at = records.join(first_ids(records), "file_name")
-    return at.select((F.col("first_id") + F.col("seq")).alias("page_id"), title_of(F.col("raw")).alias("title"), text_of(F.col("raw")).alias("text"))
+    """(page_id, file_name, seq, title, text) of the records of read_dump: numbered from 1 over files by name, and within
+    them by place; seq counts the pages of a file from 0.
+
+    The dump is read once: titles and texts are saved with a number that ascends within a block, and the places follow
+    from narrow columns of what was saved. Only a row per block is sorted.
+    """
+    at = F.monotonically_increasing_id().alias("at")
+    rows = saved(records.select("file_name", "block", at, title_of(F.col("raw")).alias("title"), text_of(F.col("raw")).alias("text")), "records")
+    blocks = rows.groupBy("file_name", "block").agg(F.count("*").alias("n"), F.min("at").alias("start"))
+    order = Window.orderBy("file_name", "block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda w: F.coalesce(F.sum("n").over(w), F.lit(0))
+    key = F.concat_ws("|", F.col("block").cast("string"), "file_name")
+    first = saved(blocks.select(key.alias("_k"), "start", (before(order) + 1).alias("first"), before(inside).alias("first_seq")), "blocks")
+    placed = skew.lookup(rows.withColumn("_k", key), first, "_k").withColumn("_at", F.col("at") - F.col("start"))
+    return placed.select((F.col("first") + F.col("_at")).alias("page_id"), "file_name", (F.col("first_seq") + F.col("_at")).alias("seq"), "title", "text")
 
 
 def escaped(s: Column) -> Column:
@@ -57,17 +67,39 @@ def escaped(s: Column) -> Column:
     return s
 
 
+def delivered_once(rows: DataFrame, key: str, columns: list[str], loaded: str = "loaded_at") -> DataFrame:
+    """`columns` of rows, one row per key: the first loaded. Rows without key are left out.
+
+    For rows read from files only narrow columns are grouped: they tell which keys stand there repeatedly, and which row
+    of these is the first; all else is filtered as it is read, without a shuffle while the repeated keys are few enough
+    to be broadcast. Other rows are grouped whole.
+    """
+    rows, key_ = rows.where(F.col(key).isNotNull()), F.col(key)
+    try:
+        at = rows.select(*{key: 0, **dict.fromkeys(columns)}, F.col(loaded).alias("_loaded"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # not from files
+        first = F.min(F.struct(F.col(loaded).alias("_loaded"), *[c for c in columns if c != key])).alias("_r")
+        return rows.groupBy(key).agg(first).select(*[key_ if c == key else F.col(f"_r.{c}") for c in columns])
+    again = saved(rows.groupBy(key).count().where("count > 1").select(key), "repeated")
+    if again.isEmpty():
+        return at.select(columns)
+    place = F.struct("_loaded", "_file", "_row")
+    first = saved(skew.lookup(at.select(key, "_loaded", "_file", "_row"), again, key).groupBy(key).agg(F.min(place).alias("_first")), "first_rows")
+    return skew.lookup(at, first, key, "left").where(F.col("_first").isNull() | (F.col("_first") == place)).select(columns)
+
+
 def records(page: DataFrame) -> DataFrame:
     """(page_id, file_name, seq, raw): the rows of the table page as page records of a dump, every page once."""
     title, text = (escaped(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "text"))
-    once = page.groupBy("page_id").agg(F.min(F.struct("loaded_at", "file_name", "seq", "title", "text")).alias("p")).select("page_id", "p.*")
-    raw = F.concat(F.lit("<page><title>"), title, F.lit('</title><text xml:space="preserve">'), text, F.lit("</text></page>"))
-    return once.where("page_id is not null").select("page_id", "file_name", "seq", raw.alias("raw"))
+    raw = F.concat(F.lit("<page><title>"), title, F.lit(f"</title><text{TEXT_TAG}"), text, F.lit("</text></page>"))
+    return spread(delivered_once(page, "page_id", ["page_id", "file_name", "seq", "title", "text"]), "page_id", page).select("page_id", "file_name", "seq", raw.alias("raw"))
 
 
 def pages(page: DataFrame) -> DataFrame:
-    """(page_id, title, text) of the table page."""
-    return records(page).select("page_id", title_of(F.col("raw")).alias("title"), text_of(F.col("raw")).alias("text"))
+    """(page_id, title, text): what title_of and text_of give for records(page), but titles without reading the texts."""
+    title, text = (escaped(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "text"))
+    once = spread(delivered_once(page, "page_id", ["page_id", "title", "text"]), "page_id", page)
+    return once.select("page_id", title.alias("title"), F.concat(F.lit(TEXT_TAG), text).alias("text"))
 
 
 def read_stop_words(spark: SparkSession, path: str) -> tuple[str, ...]:

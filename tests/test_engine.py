@@ -1,10 +1,13 @@
+import functools
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomrank.config import DEFAULT, EngineConfig
-from loomrank.functions import codec, text
-from loomrank.operators import index, links, search
-from loomrank.operators.pagerank import pagerank
+from loomrank.functions import text
+from loomrank.operators import index, links, search, skew
+from loomrank.operators.pagerank import most_rounds, pagerank, step
 from loomrank.sources import dump
 
 PAGES = [
@@ -107,8 +110,6 @@ relational relational adjustment adjustment preserve preserv space space file fi
 def test_stems(spark):
     df = spark.createDataFrame(list(zip(STEMS[::2], STEMS[1::2])), "word string, want string")
     assert df.withColumn("got", text.stem(F.col("word"))).where("got <> want").collect() == []
-    forms = spark.createDataFrame([(w,) for w in text.CATEGORY_FORMS], "w string").select(text.stem(F.col("w"))).distinct().collect()
-    assert [r[0] for r in forms] == ["categori"]
     shapes = spark.createDataFrame([("syzygy",), ("yellow",), ("tree",), ("",)], "w string").select(text.shape(F.col("w"))).collect()
     assert [r[0] for r in shapes] == ["CVCVCV", "CVCCVC", "CCVV", ""]
 
@@ -124,17 +125,83 @@ def test_numbers(spark):
     assert {r["t"]: int(r["n"]) for r in got} == titles
 
 
-def test_codec_vectors():
-    for n, h in ((0, "00"), (1, "02"), (11, "16"), (127, "fe"), (128, "0102"), (300, "5904"), (16384, "010102"), (4294967295, "ffffffff1e")):
-        assert codec.write_varint(n).hex() == h and codec.read_varint(bytes.fromhex(h)) == (n, len(h) // 2)
-    for n, h in ((-1, "82"), (0, "00"), (63, "7e"), (64, "0102"), (-64, "8102"), (-10000, "a13902")):
-        assert codec.write_signed(n).hex() == h and codec.read_signed(bytes.fromhex(h)) == (n, len(h) // 2)
-    for w, h in (("sigma", "9a4f6840"), ("a", "0800"), ("ab", "0880"), ("abc", "08870000"), ("", "0000")):
-        assert codec.write_word(w).hex() == h and codec.read_word(bytes.fromhex(h))[0] == w
-    assert codec.read_gaps(codec.write_gaps([3, 4, 900])) == ([3, 4, 900], 5)
-    assert codec.read_text(codec.write_text("a b")) == ("a b", 4) and codec.read_double(codec.write_double(3.14))[0] == 3.14 and codec.read_short(codec.write_short(15)) == (15, 2)
-
-
 def test_engine_on_empty_pages(spark):
     none = spark.createDataFrame([], "page_id bigint, title string, text string")
     assert search.Engine(spark).build(none).search("gamma").collect() == []
+
+
+SUFFIXES = ("", "y", "yy", "i", "e", "ie", "ative", "ful", "ness", "ed", "eed", "ing", "s", "es", "ies", "ss", "ate", "l", "x")
+
+
+def test_category_words_are_those_with_its_stem(spark):
+    made = ["categor" + "".join(x) for x in itertools.product(SUFFIXES, SUFFIXES[8:], SUFFIXES[8:])] + ["categor" + "".join(x) for x in itertools.product(SUFFIXES, SUFFIXES, SUFFIXES)]
+    made += ["categor" + "".join(x) for x in itertools.product(("i", "ie"), ("ative", "ful", "ness", "fulness"), ("ed", "ing", "eding", "inged"), ("", "s", "es", "ss"))]
+    made += ["category" + "x" * 70, "subcategory", "categor", "categorical", "catégories"]
+    df = spark.createDataFrame([(w,) for w in sorted(set(made))], "w string").repartition(8)
+    got = df.select("w", (text.stem(F.col("w")) == "categori").alias("want"), text.is_category(F.col("w")).alias("is"))
+    assert got.where("want <> is").collect() == []
+    found = {r["w"] for r in got.where("is").collect()}
+    assert {"category", "categories", "categoryings", "categoriness", "categoriful", "categorieds", "categoriing", "categoryeds"} <= found
+
+
+def test_all_category_forms_open_a_name(spark):
+    forms = ["Categoryings", "categoriness", "CATEGORIFUL", "categorieds", "categoriing", "categoryeds", "category"]
+    rows = [(i, "t", f"words [[{f}:One two|x]] after") for i, f in enumerate(forms)] + [(90, "t", "[[Categorical:One two|x]] after"), (91, "t", "about categoriness it")]
+    got = sorted((r["page_id"], r["field"], r["word"]) for r in index.tokens(spark.createDataFrame(rows, "page_id int, title string, text string")).where("field <> 'title'").collect())
+    want = [x for i in range(len(forms)) for x in ((i, "body", "words"), (i, "category", "one"), (i, "category", "two"))]
+    assert got == want + [(90, "body", w) for w in ("after", "categorical", "one", "two", "x")] + [(91, "body", "about"), (91, "body", "it")]
+
+
+def test_redirects_are_not_indexed(spark):
+    rows = [(1, "Old name", "#REDIRECT [[New]]"), (2, "New", "x #a"), (3, None, None)]
+    assert {r["page_id"] for r in index.tokens(spark.createDataFrame(rows, "page_id int, title string, text string")).collect()} == {2}
+
+
+def test_full_stemmer(spark):
+    words = """relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform radicalli radic differentli differ vileli vile
+    analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal
+    sensitiviti sensit sensibiliti sensibl homologi homolog revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust
+    defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti
+    angular homologous homolog effective effect bowdlerize bowdler generalizations gener oscillators oscil missing miss category categori""".split()
+    df = spark.createDataFrame(list(zip(words[::2], words[1::2])), "word string, want string")
+    assert df.withColumn("got", text.stem(F.col("word"), True)).where("got <> want").collect() == []
+    page = spark.createDataFrame([(1, "Relational", "adjustment")], "page_id int, title string, text string")
+    stems = lambda cfg: {r["stem"] for r in index.term_freq(page, cfg).collect()}
+    assert stems(EngineConfig(full_stemmer=True)) == {"relat", "adjust"} and stems(DEFAULT) == {"relational", "adjustment"}
+
+
+def test_lower_bound_search_is_spread(spark):
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in "bdfhjlnprt" for c in "acegikmoqs"]
+    entries = spark.createDataFrame([(w,) for w in words] * 2, "stem string")
+    asked = [(i, 0, 7, w) for i, w in enumerate(["aaa", "bzz", "cb", "jts", "jtt", "zzz", "a", None, "efi", *["dbb"] * 50, "abcdefghijklmnopqrst"])]
+    terms = spark.createDataFrame(asked, "query_id bigint, pos int, flags int, stem string")
+    value = lambda w: functools.reduce(lambda a, c: (a * 27 + ord(c) - 96) % 2**64, w, 0)
+    order = sorted(words, key=value)
+    want = {i: next((x for x in order if value(x) >= value(w)), None) for i, _, _, w in asked if w}
+    got = {r["query_id"]: r["stem"] for r in search.next_words(terms, entries).collect()}
+    assert got == {i: x for i, x in want.items() if x}
+    fewer = {r["query_id"]: r["stem"] for r in search.next_words(terms, entries, drop_first=True).collect()}
+    assert fewer == {i: x for i, x in got.items() if x != order[0]}
+    assert search.next_words(terms, entries.limit(0)).collect() == []
+    numbers = entries.distinct().select(text.word_number(F.col("stem")).alias("n")).repartitionByRange(4, "n").groupBy(F.spark_partition_id()).count().collect()
+    assert len(numbers) == 4 and max(r["count"] for r in numbers) <= 2 * 1000 / 4
+
+
+def test_pagerank_stops_by_itself_only(spark):
+    rows = [(i, (i * 7 + 1) % 50) for i in range(50)] + [(0, i) for i in range(50)]
+    edges, ids = spark.createDataFrame(rows, "src bigint, dst bigint"), spark.createDataFrame([(i,) for i in range(51)], "page_id bigint")
+    seen = []
+    got = {r["page_id"]: r["pr"] for r in pagerank(edges, ids, EngineConfig(stop_residual=1e-18), residuals=seen).collect()}
+    links_of = {s: {d for a, d in rows if a == s} for s in range(51)}
+    pr = dict.fromkeys(range(51), 1 / 52)
+    for _ in range(len(seen)):
+        pr = {i: 0.15 / 52 + 0.85 * sum(pr[s] / len(t) for s, t in links_of.items() if i in t) if links_of[i] else pr[i] for i in pr}
+    pr[50] = 0.15 / 52
+    assert got == pytest.approx(pr, abs=1e-12) and seen[-1] <= 1e-18 < seen[-2] and len(seen) <= most_rounds(EngineConfig(stop_residual=1e-18))
+    with pytest.raises(ValueError):
+        pagerank(edges, ids, EngineConfig(damping=1.0))
+    hub = skew.heavy_keys(edges, "src", 0.3, 1)
+    ranks = spark.createDataFrame([(i, len(links_of[i]), 0.5 + i) for i in range(51)], "page_id bigint, n bigint, pr double")
+    usual = step(ranks, edges.distinct(), 0.1, False, 0.85)
+    parts = step(ranks, edges.distinct().where("src <> 0"), 0.1, False, 0.85, (edges.distinct().where("src = 0"), hub.select("src")))
+    assert hub.count() == 1 and {r[0]: r["pr"] for r in usual.collect()} == pytest.approx({r[0]: r["pr"] for r in parts.collect()})
