@@ -18,7 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrank.sources.tables import table
+from loomrank.operators import skew
+from loomrank.sources.dump import delivered_once
+from loomrank.sources.tables import local_table, saved, spread, table
 
 KINDS = ("html", "markdown", "wiki", "latex")
 #: A subtree is furniture if it stands on so many pages of its host, and on this share of them.
@@ -357,10 +359,10 @@ def _tex(t: str, hold) -> str:
 _PAGES = ["page_id", "host", "title", "text"]
 
 
-def _rows(df: DataFrame) -> DataFrame:
-    """One row per page: of repeated deliveries the first loaded; rows without page_id are ignored."""
-    first = F.min(F.struct("loaded_at", F.coalesce("file_name", F.lit("")).alias("host"), "title", "text")).alias("r")
-    return df.where("page_id is not null").groupBy("page_id").agg(first).select("page_id", "r.host", "r.title", "r.text")
+def _rows(page: DataFrame) -> DataFrame:
+    """(page_id, host, title, text), one row per page: of repeated deliveries the first loaded; rows without page_id are ignored."""
+    once = spread(delivered_once(page, "page_id", ["page_id", "file_name", "title", "text"]), "page_id", page)
+    return once.select("page_id", F.coalesce("file_name", F.lit("")).alias("host"), "title", "text")
 
 
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +379,7 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         title, text, cut = (b.column(i).to_pylist() for i in (2, 3, 4))
         kinds = [[kinds_of(x) for x in field] for field in (title, text)]
-        kept = [clean(without(x, set(c)) if c and x else x, k) for x, c, k in zip(text, cut, kinds[1])]
+        kept = [clean(without(x, set(c))) if c and x else clean(x, k) for x, c, k in zip(text, cut, kinds[1])]
         columns = [
             b.column(0), b.column(1), pa.array(map(clean, title, kinds[0]), pa.string()), pa.array(kept, pa.string()),
             pa.array(kinds[0], strings), pa.array(kinds[1], strings), pa.array([len(c or ()) for c in cut], pa.int32()),
@@ -386,11 +388,20 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def furniture(pages: DataFrame, least: int = FURNITURE_PAGES, share: float = FURNITURE_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(subtrees of pages: page_id, host, h; those of them that stand on many pages of their host: host, h, n)."""
-    found = pages.mapInArrow(_hash, "page_id bigint, host string, h bigint")
+    """(subtrees of pages: page_id, host, h; those of them that stand on many pages of their host: host, h, n). Pages are parsed once."""
+    found = saved(pages.mapInArrow(_hash, "page_id bigint, host string, h bigint"), "subtrees")
     sizes = pages.groupBy("host").agg(F.count("*").alias("size"))
     often = found.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return found, often.join(sizes, "host").where(F.col("n") >= share * F.col("size")).select("host", "h", "n")
+    return found, saved(often.join(sizes, "host").where(F.col("n") >= share * F.col("size")).select("host", "h", "n"), "furniture")
+
+
+def _cuts(found: DataFrame, often: DataFrame) -> DataFrame:
+    """(page_id, cut): the furniture on each page. Subtrees with a heavy share of all are known by their count, and broadcast."""
+    key = F.concat_ws("|", F.col("h").cast("string"), "host").alias("k")
+    least = max(skew.LEAST_ROWS, skew.heavy_share(found.sparkSession) * found.count())
+    heavy = local_table(found.sparkSession, often.where(F.col("n") >= least).select(key, "n").collect(), "k string, estimate bigint")
+    hits = skew.skew_join(found.select("page_id", key, "h"), often.select(key), "k", heavy=heavy)
+    return saved(hits.groupBy("page_id").agg(F.collect_list("h").alias("cut")), "cuts")  # of one page
 
 
 def clean_pages(page: DataFrame, least: int = FURNITURE_PAGES, share: float = FURNITURE_SHARE) -> DataFrame:
@@ -401,11 +412,12 @@ def clean_pages(page: DataFrame, least: int = FURNITURE_PAGES, share: float = FU
     null and empty ones empty, both without kinds. Of rows of one page_id the first loaded counts; rows without
     page_id are ignored; an empty table gives no rows; other columns are ignored.
     """
-    pages = _rows(page).select(*_PAGES)
+    pages = _rows(page)
     found, often = furniture(pages, least, share)
-    cut = found.join(often.select("host", "h"), ["host", "h"]).groupBy("page_id").agg(F.collect_list("h").alias("cut"))
+    none = F.lit(None).cast("array<bigint>").alias("cut")
+    cut = pages.select(*_PAGES, none) if often.isEmpty() else skew.lookup(pages, _cuts(found, often), "page_id", "left")
     schema = "page_id bigint, host string, title string, text string, title_kinds array<string>, text_kinds array<string>, removed int"
-    return pages.join(cut, "page_id", "left").select(*_PAGES, "cut").mapInArrow(_convert, schema)
+    return cut.select(*_PAGES, "cut").mapInArrow(_convert, schema)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -418,5 +430,19 @@ def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
     return clean_pages(table(spark, folder, "page"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean}
-SQL: dict[str, str] = {}
+def p4_planted(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, removed, same) of pages on which a menu of their host was planted; same: the clean text is that without the menu."""
+    page, menu = table(spark, folder, "page"), F.concat(F.lit('<div class="menu"><p>Home pages and contents of '), F.coalesce("file_name", F.lit("")), F.lit("</p></div>"))
+    planted = clean_pages(page.withColumn("text", F.concat(menu, "text"))).select("page_id", "removed", F.col("text").alias("planted"))
+    return planted.join(clean_pages(page).select("page_id", "text"), "page_id").select("page_id", "removed", F.col("text").eqNullSafe(F.col("planted")).alias("same"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean, "p4_planted": p4_planted}
+#: The menu is two subtrees, the block and its paragraph.
+SQL = {
+    "p4_planted": f"""
+WITH p AS (SELECT DISTINCT page_id, coalesce(file_name, '') AS host, text IS NOT NULL AS has FROM page WHERE page_id IS NOT NULL),
+h AS (SELECT host, count(*) AS size, count(*) FILTER (has) AS n FROM p GROUP BY host),
+r AS (SELECT page_id, has, CASE WHEN has AND n >= {FURNITURE_PAGES} AND n >= {FURNITURE_SHARE} * size THEN 2 ELSE 0 END AS removed FROM p JOIN h USING (host))
+SELECT page_id, CAST(removed AS INTEGER) AS removed, removed = 2 OR NOT has AS same FROM r""",
+}
