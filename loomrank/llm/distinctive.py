@@ -3,6 +3,10 @@
 The title and category words of a page are taken as drawn from a mixture of the page's own language
 model and the collection's. Expectation-maximisation moves the mass that the collection explains out
 of the page's model, so that what remains ranks the words that mark out the page.
+
+The likelihood is concave, so the rounds tend to one limit: a word has either none of the mass, or tf / m less its
+background, with one normaliser m for the page. The rounds tell which words have mass; m is then solved for exactly.
+So no score depends on when the rounds were stopped.
 """
 
 from __future__ import annotations
@@ -17,14 +21,14 @@ from pyspark.sql import functions as F
 from loomrank.operators import skew
 from loomrank.operators.postings import TIERS, distinct_postings
 from loomrank.plans.words import word_totals
-from loomrank.sources.tables import saved, table
+from loomrank.sources.tables import local_table, saved, table
 
 #: Weight of the page's own model in the mixture.
 OWN = 0.5
-#: A page has converged when no probability of it moves by this much in a round.
-TOLERANCE = 1e-6
-#: Rounds of the pages that are spread over tasks, each a job; these may end before they have converged.
-ROUNDS = 60
+#: A page's rounds end when no probability of it moves by this much in one; the limit is then solved for.
+TOLERANCE = 1e-4
+#: Relative change of a normaliser below which the limit is reached.
+EXACT = 1e-13
 #: Rows that one step of the vectorised model takes at least.
 BLOCK = 100_000
 FOUND = 80.0
@@ -40,7 +44,8 @@ def maximise(start: np.ndarray, tf: np.ndarray, background: np.ndarray, own: flo
     if not len(tf):
         return np.zeros(0)
     out, rows, size = np.zeros(len(tf)), np.arange(len(tf)), np.diff(np.append(start, len(tf)))
-    page = np.repeat(np.arange(len(size)), size)
+    whole = start, tf, (1 - own) / own * background, np.repeat(np.arange(len(size)), size)
+    page = whole[3]
     share = lambda e: e / np.where((z := np.add.reduceat(e, start)) > 0, z, 1.0)[page]
     p, noise = share(tf), (1 - own) * background
     while len(rows):
@@ -53,7 +58,23 @@ def maximise(start: np.ndarray, tf: np.ndarray, background: np.ndarray, own: flo
             keep, size = going[page], size[going]
             rows, p, tf, noise = rows[keep], p[keep], tf[keep], noise[keep]
             page, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
-    return out
+    return _limit(out, *whole)
+
+
+def _limit(p: np.ndarray, start: np.ndarray, tf: np.ndarray, noise: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """What the rounds tend to, from the words that they left mass: Newton steps for the normalisers of all pages at once."""
+
+    def normaliser(kept: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.where(kept, tf, 0.0), start) / (1 + np.add.reduceat(np.where(kept, noise, 0.0), start))
+
+    m = normaliser((p > TOLERANCE) & (tf > 0))
+    while True:
+        new = normaliser((tf > m[page] * noise) & (tf > 0))
+        done, m = (np.abs(new - m) <= EXACT * new).all(), new
+        if done:
+            break
+    below = m[page]
+    return np.maximum(np.divide(tf, below, out=np.zeros_like(tf), where=below > 0) - noise, 0.0) * (tf > 0)
 
 
 def _pages(own: float):
@@ -86,29 +107,29 @@ def _pages(own: float):
 
 
 def _giant_pages(rows: DataFrame, own: float) -> DataFrame:
-    """The same model for pages of very many words, with a page's rows spread over all tasks.
+    """The same limit for pages of very many words, with a page's rows spread over all tasks.
 
-    Every round brings one normaliser per such page to the driver; a page's probabilities follow from
-    its normalisers so far, so nothing else is kept between rounds.
+    All words begin with mass, and every step brings one normaliser per such page to the driver; words only lose their
+    mass from step to step, so the steps end, mostly after a few.
     """
     rows = saved(rows, "giant_pages")
-    tf, spark = F.greatest("tf", F.lit(0)).cast("double"), rows.sparkSession
-    first = rows.groupBy("page_id").agg(F.sum(tf).alias("z")).collect()
-    sums = {r["page_id"]: [r["z"] or 1.0] for r in first}
-    step = lambda p, z: tf * own * p / (own * p + (1 - own) * F.col("background")) / z
-
-    def model() -> DataFrame:
-        z = spark.createDataFrame([(k, v[0], v[1:]) for k, v in sums.items()], "page_id bigint, z0 double, zs array<double>")
-        return rows.join(F.broadcast(z), "page_id").withColumn("score", F.aggregate("zs", tf / F.col("z0"), lambda p, z: F.coalesce(F.try_divide(step(p, F.lit(1.0)), z), F.lit(0.0))))
-
-    for _ in range(ROUNDS):
-        new = model().groupBy("page_id").agg(F.sum(F.coalesce(step(F.col("score"), F.lit(1.0)), F.lit(0.0))).alias("z")).collect()
-        still = any(len(sums[r["page_id"]]) < 2 or abs(r["z"] - sums[r["page_id"]][-1]) > TOLERANCE * max(r["z"], 1e-12) for r in new)
-        for r in new:
-            sums[r["page_id"]].append(r["z"] or 1.0)
-        if not still:
+    tf, noise, spark = F.greatest("tf", F.lit(0)).cast("double"), F.lit((1 - own) / own) * F.col("background"), rows.sparkSession
+    m: dict[int, float] = {}
+
+    def marked() -> DataFrame:
+        if not m:
+            return rows.withColumn("m", F.lit(0.0))
+        return rows.join(F.broadcast(local_table(spark, m.items(), "page_id bigint, m double")), "page_id")
+
+    while True:
+        kept = (tf > 0) & (tf > F.col("m") * noise)
+        got = marked().groupBy("page_id").agg(F.sum(F.when(kept, tf)).alias("t"), F.sum(F.when(kept, noise)).alias("b")).collect()
+        new = {r["page_id"]: (r["t"] or 0.0) / (1 + (r["b"] or 0.0)) for r in got}
+        done, m = bool(m) and all(abs(x - m[k]) <= EXACT * x for k, x in new.items()), new
+        if done or not m:
             break
-    return model().select(*[c.split()[0] for c in _SCORED.split(", ")])
+    score = F.when((tf > 0) & (F.col("m") > 0), F.greatest(tf / F.col("m") - noise, F.lit(0.0))).otherwise(0.0)
+    return marked().withColumn("score", score).select(*[c.split()[0] for c in _SCORED.split(", ")])
 
 
 def distinctive_words(postings: DataFrame, own: float = OWN, giant: DataFrame | None = None) -> DataFrame:
@@ -134,7 +155,14 @@ def distinctive_words(postings: DataFrame, own: float = OWN, giant: DataFrame |
 
 
 def p3_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return distinctive_words(table(spark, folder, "postings"))
+    return distinctive_words(table(spark, folder, "postings")).withColumn("score", F.round("score", 9))
+
+
+def p3_spread(spark: SparkSession, folder: str) -> DataFrame:
+    """p3_scores where pages with a small share of the rows are spread over tasks too."""
+    postings = table(spark, folder, "postings")
+    giant = skew.heavy_keys(postings.where(F.col("tier").isin(*TIERS[:2])), "page_id", 0.0003, 1)
+    return distinctive_words(postings, giant=giant).withColumn("score", F.round("score", 9))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,11 +172,20 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return distinctive_words(postings).where(F.col("freq").isNotNull() & (weight >= FOUND)).select("page_id", "word_val")
 
 
-QUERIES = {"p3_found": p3_found, "p3_scores": p3_scores}
+QUERIES = {"p3_found": p3_found, "p3_scores": p3_scores, "p3_spread": p3_spread}
+_ONCE = """p AS (SELECT word_val, page_id, max(freq) AS freq, max(tier) AS tier FROM postings WHERE word_val IS NOT NULL AND page_id IS NOT NULL GROUP BY ALL),
+w AS (SELECT word_val, count(*) AS n, greatest(coalesce(sum(freq), 0), 0) AS occurrences FROM p GROUP BY word_val)"""
+#: Of words in the order of tf / background, so many have mass that the normaliser tf sum / (1 + background sum) is greatest.
+_SCORES = f"""
+WITH {_ONCE}, b AS (SELECT word_val, n, occurrences / (SELECT sum(occurrences) FROM w)::DOUBLE AS noise FROM w),
+t AS (SELECT page_id, word_val, freq, CASE tier WHEN 'title' THEN 0 ELSE 1 END AS tier_no, n, greatest(coalesce(freq, 0), 0)::DOUBLE AS tf, noise FROM p JOIN b USING (word_val) WHERE tier IN ('title', 'category')),
+m AS (SELECT *, sum(tf) OVER o / (1 + sum(noise) OVER o) AS m FROM t WHERE tf > 0 WINDOW o AS (PARTITION BY page_id ORDER BY tf / noise DESC, word_val ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+k AS (SELECT page_id, max(m) AS m FROM m GROUP BY page_id)
+SELECT page_id, word_val, freq, tier_no, n AS pages, round(CASE WHEN tf > 0 THEN greatest(tf / m - noise, 0) ELSE 0 END, 9) AS score FROM t LEFT JOIN k USING (page_id)"""
 SQL = {
     "p3_found": f"""
-WITH p AS (SELECT word_val, page_id, max(freq) AS freq, max(tier) AS tier FROM postings WHERE word_val IS NOT NULL AND page_id IS NOT NULL GROUP BY ALL),
-w AS (SELECT word_val, count(*) AS n FROM p GROUP BY word_val)
-SELECT page_id, word_val FROM p JOIN w USING (word_val)
-WHERE tier IN ('title', 'category') AND freq IS NOT NULL AND freq * ln((SELECT count(DISTINCT page_id) FROM p)::DOUBLE / n) >= {FOUND}"""
+WITH {_ONCE} SELECT page_id, word_val FROM p JOIN w USING (word_val)
+WHERE tier IN ('title', 'category') AND freq IS NOT NULL AND freq * ln((SELECT count(DISTINCT page_id) FROM p)::DOUBLE / n) >= {FOUND}""",
+    "p3_scores": _SCORES,
+    "p3_spread": _SCORES,
 }

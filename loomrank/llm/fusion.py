@@ -14,6 +14,8 @@ from loomrank.operators import skew
 from loomrank.operators.postings import TIERS, distinct_postings
 from loomrank.sources.tables import saved, table
 
+#: From this share on, and in however few rows, words, pages and queries count as heavy in p6_split.
+SPLIT_SHARE = 0.002
 WEIGHTS = {"pr": 1.0, "title_score": 1.0, "category_score": 1.0}
 
 
@@ -70,21 +72,30 @@ def median_rank(rows: DataFrame, group: str, item: str, weights: dict[str, float
     return small(rest).unionByName(hot.withColumn("place", F.col("place") + 1))
 
 
-def candidates(query_terms: DataFrame, postings: DataFrame, pageranks: DataFrame) -> DataFrame:
-    """(query_id, page_id, pr, title_score, category_score): the pages with a title or category posting of a word of the query."""
+def candidates(query_terms: DataFrame, postings: DataFrame, pageranks: DataFrame, share: float | None = None, least: int = skew.LEAST_ROWS) -> DataFrame:
+    """(query_id, page_id, pr, title_score, category_score): the pages with a title or category posting of a word of the query.
+
+    share, least: from when on a word, or a page among the candidates, is heavy, as in skew.heavy_keys.
+    """
     terms = query_terms.where("query_id is not null and word_val is not null").select("query_id", "word_val").distinct()
     lists = distinct_postings(postings, TIERS[:2])
-    heavy = skew.heavy_keys(postings.where(F.col("tier").isin(*TIERS[:2])), "word_val")
+    heavy = skew.heavy_keys(postings.where(F.col("tier").isin(*TIERS[:2])), "word_val", share, least)
     hits = skew.salted_join(lists, terms, "word_val", "page_id", heavy)
     amount = lambda t: F.coalesce(F.sum(F.when(F.col("tier_no") == TIERS.index(t), F.col("freq").cast("bigint"))), F.lit(0))
     found = hits.groupBy("query_id", "page_id").agg(amount("title").alias("title_score"), amount("category").alias("category_score"))
     found = saved(found, "hits")
-    return skew.skew_join(found, ranks_of_pages(pageranks), "page_id", "left").withColumn("pr", F.coalesce("pr", F.lit(0.0)))
+    return skew.skew_join(found, ranks_of_pages(pageranks), "page_id", "left", skew.heavy_keys(found, "page_id", share, least)).withColumn("pr", F.coalesce("pr", F.lit(0.0)))
+
+
+_COLUMNS = ["query_id", "page_id", "median_rank", "mean_rank", "place", "items", *[f"rank_{s}" for s in WEIGHTS]]
+
+
+def _tables(spark: SparkSession, folder: str) -> list[DataFrame]:
+    return [table(spark, folder, t) for t in ("query_terms", "postings", "pageranks")]
 
 
 def p6_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    rows = candidates(*(table(spark, folder, t) for t in ("query_terms", "postings", "pageranks")))
-    return median_rank(rows, "query_id", "page_id", WEIGHTS).select("query_id", "page_id", "median_rank", "mean_rank", "place", "items", *[f"rank_{s}" for s in WEIGHTS])
+    return median_rank(candidates(*_tables(spark, folder)), "query_id", "page_id", WEIGHTS).select(_COLUMNS)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +103,13 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_ranking(spark, folder).where(worst - 1 < F.col("items") / 4).select("query_id", "page_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_ranking": p6_ranking}
+def p6_split(spark: SparkSession, folder: str) -> DataFrame:
+    """p6_ranking where small tables have heavy words, pages and queries too."""
+    rows = saved(candidates(*_tables(spark, folder), SPLIT_SHARE, 1), "ranked")
+    return median_rank(rows, "query_id", "page_id", WEIGHTS, skew.heavy_keys(rows, "query_id", SPLIT_SHARE, 1)).select(_COLUMNS)
+
+
+QUERIES = {"p6_found": p6_found, "p6_ranking": p6_ranking, "p6_split": p6_split}
 _RANKED = """
 WITH p AS (SELECT word_val, page_id, max(freq) AS freq, max(tier) AS tier FROM postings WHERE word_val IS NOT NULL AND tier IN ('title', 'category') GROUP BY ALL),
 q AS (SELECT DISTINCT query_id, word_val FROM query_terms WHERE word_val IS NOT NULL),
@@ -108,4 +125,5 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY median_rank, mean_ra
 SQL = {
     "p6_found": f"SELECT query_id, page_id FROM ({_RANKED}) WHERE greatest(rank_pr, rank_title_score, rank_category_score) - 1 < items / 4",
     "p6_ranking": _RANKED,
+    "p6_split": _RANKED,
 }

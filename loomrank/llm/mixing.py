@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomrank.sources.tables import table
+from loomrank.sources.tables import local_table, saved, table
 
 HASH_BITS, STEP_BITS = 60, 12
 
@@ -48,48 +48,48 @@ def _rows(documents: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def thresholds(documents: DataFrame, weights: DataFrame, size: float | None = None) -> dict[str, Source]:
-    """What is taken of each source. size: tokens of the mixture, by default those of all listed documents."""
+    """What is taken of each source. size: tokens of the mixture, by default those of all listed documents.
+
+    The sums of the buckets, 2**STEP_BITS a source at most, stay in Spark; one row per source comes to the driver.
+    """
+    spark = documents.sparkSession
     asked = {r["source"]: Source(float(r["target_share"]), int(r["max_repeats"])) for r in weights.collect()}
-    rows, open_, bits = _rows(documents, weights), {}, HASH_BITS
-    while True:
-        bits -= STEP_BITS
+    rows, left, buckets, bits = _rows(documents, weights), {}, {}, HASH_BITS
+    order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    while bits:
         part = rows
-        if open_:  # only the boundary bucket of each source
-            hit = F.lit(False)
-            for s, (bucket, _) in open_.items():
-                hit = hit | ((F.col("source") == s) & (F.shiftright("h", bits + STEP_BITS) == bucket))
-            part = rows.where(hit)
-        # at most 2**STEP_BITS sums per listed source
-        sums = part.groupBy("source", F.shiftright("h", bits).alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.countDistinct("h").alias("n") if bits else F.lit(1).alias("n")).collect()
-        by: dict[str, list] = {}
-        for r in sorted(sums, key=lambda r: r["bucket"]):
-            by.setdefault(r["source"], []).append(r)
-        if bits == HASH_BITS - STEP_BITS:
-            for s, own in by.items():
-                asked[s].tokens = sum(r["tokens"] for r in own)
+        if buckets:  # only the boundary bucket of each source
+            own = F.broadcast(local_table(spark, buckets.items(), "source string, _open bigint"))
+            part = rows.join(own, "source").where(F.shiftright("h", bits) == F.col("_open"))
+        bits -= STEP_BITS
+        sums = part.groupBy("source", F.shiftright("h", bits).alias("bucket")).agg(F.sum("tokens").alias("tokens"), F.min("h").alias("low"), F.max("h").alias("high"))
+        sums = saved(sums, "buckets")
+        if not buckets:
+            for r in sums.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect():
+                asked[r["source"]].tokens = r["tokens"]
             size = sum(x.tokens for x in asked.values()) if size is None else size
             for s, x in asked.items():
                 x.target = x.share * size
                 x.copies = x.repeats if x.repeats * x.tokens <= x.target or not x.tokens else int(x.target // x.tokens)
                 x.chosen = x.copies * x.tokens
-            rest = {s: x.target - x.chosen for s, x in asked.items() if x.tokens and x.copies < x.repeats}
-        else:
-            rest = {s: r for s, (_, r) in open_.items()}
-        open_ = {}
-        for s, left in rest.items():
-            x = asked[s]
-            for r in by.get(s, []):
-                if r["tokens"] <= left:
-                    left, x.chosen, x.threshold = left - r["tokens"], x.chosen + r["tokens"], (r["bucket"] + 1) << bits
-                elif r["n"] > 1 and bits:
-                    open_[s] = (r["bucket"], left)
-                    break
-                else:
-                    if r["tokens"] - left < left:  # the boundary document, if that comes closer to the target
-                        x.chosen, x.threshold = x.chosen + r["tokens"], (r["bucket"] + 1) << bits
-                    break
-        if not open_ or not bits:
-            return asked
+                if x.tokens and x.copies < x.repeats:
+                    left[s] = x.target - x.chosen
+        rest = F.broadcast(local_table(spark, left.items(), "source string, _left double"))
+        upto = sums.withColumn("upto", F.sum("tokens").over(order)).join(rest, "source").where(F.col("upto") > F.col("_left"))
+        # the bucket in which the budget ends
+        ends = upto.groupBy("source").agg(F.min_by(F.struct("bucket", "tokens", "upto", "low", "high"), "bucket").alias("r")).select("source", "r.*").collect()
+        left, buckets, budget = {}, {}, left
+        for r in ends:
+            s, x, before = r["source"], asked[r["source"]], r["upto"] - r["tokens"]
+            x.chosen, x.threshold = x.chosen + before, r["bucket"] << bits
+            rest_ = budget[s] - before
+            if r["low"] != r["high"]:
+                buckets[s], left[s] = r["bucket"], rest_
+            elif r["tokens"] - rest_ < rest_:  # the boundary document, if that comes closer to the target
+                x.chosen, x.threshold = x.chosen + r["tokens"], (r["bucket"] + 1) << bits
+        if not buckets:
+            break
+    return asked
 
 
 def mix(documents: DataFrame, weights: DataFrame, size: float | None = None) -> tuple[DataFrame, DataFrame]:
@@ -102,12 +102,12 @@ def mix(documents: DataFrame, weights: DataFrame, size: float | None = None) ->
     actual_share is null if nothing is chosen at all. Documents that are not chosen have no row.
     """
     spark, got = documents.sparkSession, thresholds(documents, weights, size)
-    marks = spark.createDataFrame([(s, x.copies, x.threshold) for s, x in got.items()], "source string, all_copies int, threshold bigint")
+    marks = local_table(spark, [(s, x.copies, x.threshold) for s, x in got.items()], "source string, all_copies int, threshold bigint")
     copies = F.col("all_copies") + (F.col("h") < F.col("threshold")).cast("int")
     chosen = _rows(documents, weights).join(F.broadcast(marks), "source").withColumn("copies", copies).where("copies > 0").select("doc_id", "source", "tokens", "copies")
     total = sum(x.chosen for x in got.values())
     rows = [(s, x.share, x.tokens, x.target, x.chosen, x.chosen / total if total else None, x.short) for s, x in got.items()]
-    return chosen, spark.createDataFrame(rows, "source string, target_share double, tokens bigint, target_tokens double, chosen_tokens bigint, actual_share double, short boolean")
+    return chosen, local_table(spark, rows, "source string, target_share double, tokens bigint, target_tokens double, chosen_tokens bigint, actual_share double, short boolean")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,10 +122,29 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"), table(spark, folder, "source_weights"))[0]
 
 
-QUERIES = {"p8_found": p8_found, "p8_shares": p8_shares, "p8_mix": p8_mix}
-SQL = {
-    "p8_found": r"""
+def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, tokens, short, repeats_kept, near, nothing_else): the selection of p8_mix against the report of p8_shares.
+
+    near: what the chosen documents have differs from the target by half the source's largest document at most, or the
+    source is short and gives all it may; nothing_else: the report tells the tokens that were chosen.
+    """
+    weights = table(spark, folder, "source_weights")
+    chosen, report = mix(table(spark, folder, "documents"), weights)
+    got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("got"), F.max("copies").alias("most"))
+    largest = _rows(table(spark, folder, "documents"), weights).groupBy("source").agg(F.max("tokens").alias("largest"))
+    rows = report.join(got, "source", "left").join(largest, "source", "left").join(weights.select("source", "max_repeats"), "source")
+    have, most = F.coalesce("got", F.lit(0)), F.coalesce("most", F.lit(0))
+    near = F.when(F.col("short"), have == F.col("max_repeats") * F.col("tokens")).otherwise(F.abs(have - F.col("target_tokens")) <= F.coalesce("largest", F.lit(0)) / 2 + 0.5)
+    checks = [(most <= F.col("max_repeats")).alias("repeats_kept"), near.alias("near"), (have == F.col("chosen_tokens")).alias("nothing_else")]
+    return rows.select("source", "tokens", "short", *checks)
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p8_shares, p8_mix, p8_checked)}
+_TOTALS = r"""
 WITH t AS (SELECT w.source, any_value(target_share) AS share, any_value(max_repeats) AS r, coalesce(sum(n_tokens), 0) AS n
-FROM source_weights w LEFT JOIN documents d ON lower(regexp_replace(d.source, '^\s+|\s+$', '', 'g')) = w.source GROUP BY w.source)
-SELECT source FROM t WHERE r * n < share * (SELECT sum(n) FROM t)"""
+FROM source_weights w LEFT JOIN documents d ON lower(regexp_replace(d.source, '^\s+|\s+$', '', 'g')) = w.source GROUP BY w.source)"""
+_SHORT = "r * n < share * (SELECT sum(n) FROM t)"
+SQL = {
+    "p8_found": f"{_TOTALS} SELECT source FROM t WHERE {_SHORT}",
+    "p8_checked": f"{_TOTALS} SELECT source, CAST(n AS BIGINT) AS tokens, {_SHORT} AS short, true AS repeats_kept, true AS near, true AS nothing_else FROM t",
 }

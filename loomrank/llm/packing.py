@@ -8,6 +8,7 @@ then take the places of their class, and short ones go where they fit best.
 
 from __future__ import annotations
 
+import logging
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrank.operators.skew import running_sum
-from loomrank.sources.tables import saved, table
+from loomrank.sources.tables import local_table, saved, table
 
 CLASSES = 24
 #: Items above this fraction of the capacity are large; at most 1 / LARGE of them fit into a container.
@@ -57,7 +58,9 @@ def best_filling(value: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndar
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 500) -> list[tuple[np.ndarray, int]]:
     """(filling, number of containers) that together hold the demand: the rounded-down optimum of the
-    configuration programme by column generation, and first-fit decreasing for the few items left over."""
+    configuration programme by column generation, and first-fit decreasing for the few items left over.
+
+    Where `rounds` columns do not reach the optimum, which is logged, the containers have more room left than need be, and hold the demand all the same."""
     k = len(sizes)
     if not k:
         return []
@@ -75,6 +78,8 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
             break
         x = np.maximum(x - ratio[out] * step, 0)
         basis[:, out], x[out] = new, ratio[out]
+    else:
+        logging.getLogger(__name__).warning("%d columns did not reach the optimum for a capacity of %d", rounds, capacity)
     left, plan = demand.astype(np.int64).copy(), []
     for column, n in sorted(zip(basis.T.round().astype(np.int64), x), key=lambda p: -p[1]):
         fits = left[column > 0] // column[column > 0]
@@ -149,8 +154,8 @@ def pack(documents: DataFrame, capacity: int, classes: int = CLASSES, large: flo
             ranges.append((int(g), int(at[g]), int(at[g]) + n * a, base, a))
             at[g] += n * a
         base += n
-    class_of = spark.createDataFrame([(capacity, -1), *((int(s), int(c)) for s, c in zip(sizes[big], cls))], "tokens int, class int")
-    slots = spark.createDataFrame(ranges, "class int, low bigint, high bigint, base bigint, each bigint")
+    class_of = local_table(spark, [(capacity, -1), *((int(s), int(c)) for s, c in zip(sizes[big], cls))], "tokens int, class int")
+    slots = local_table(spark, ranges, "class int, low bigint, high bigint, base bigint, each bigint")
 
     # both lists are bounded by the capacity and the number of classes
     large_items = items.where(F.col("tokens") > limit).join(F.broadcast(class_of), "tokens")
@@ -189,5 +194,19 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return total.join(table(spark, folder, "containers"), "container").select("container", "containers", "tokens", share.alias("unused"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill}
-SQL = {"p7_found": "SELECT container, doc_id FROM containers JOIN documents ON n_tokens > capacity"}
+def p7_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """(container, documents, tokens, pieces, cut, fits): what p7_pack laid into the containers; fits: no slot holds more than the capacity."""
+    rows = saved(p7_pack(spark, folder), "packed")
+    first, count = F.col("piece") == 0, lambda c: F.count(F.when(c, 1))
+    total = rows.groupBy("container").agg(count(first).alias("documents"), F.sum("tokens").alias("tokens"), count(F.col("slot").isNotNull()).alias("pieces"), count(first & (F.col("pieces") > 1)).alias("cut"))
+    most = rows.where("slot is not null").groupBy("container", "slot").agg(F.sum("tokens").alias("used")).groupBy("container").agg(F.max("used").alias("most"))
+    fits = total.join(most, "container", "left").join(table(spark, folder, "containers"), "container").withColumn("fits", F.coalesce(F.col("most") <= F.col("capacity"), F.lit(True)))
+    return fits.select("container", "documents", "tokens", "pieces", "cut", "fits")
+
+
+QUERIES = {"p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p7_totals": p7_totals}
+SQL = {
+    "p7_found": "SELECT container, doc_id FROM containers JOIN documents ON n_tokens > capacity",
+    "p7_totals": """SELECT container, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum((n + capacity - 1) // capacity) AS BIGINT) AS pieces, count(*) FILTER (n > capacity) AS cut, true AS fits
+FROM containers, (SELECT greatest(coalesce(n_tokens, 0), 0) AS n FROM documents) GROUP BY container""",
+}

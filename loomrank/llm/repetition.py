@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrank.sources.tables import table
+from loomrank.sources.tables import spread, table
 
 RUN, FOUND = 5, 0.3
 CHUNK = 4096
@@ -113,14 +113,16 @@ def _measure(exact: str):
 
 
 def repetition(documents: DataFrame, exact: str = "both") -> DataFrame:
-    """(doc_id, ratio, chunk_ratio, band, words, repeated_words) of every document, without a shuffle.
+    """(doc_id, ratio, chunk_ratio, band, words, repeated_words) of every document, without a shuffle but
+    for spread() of tables in very few files.
 
     exact: `both` gives the bands and counts the words of every document, `all` only counts and leaves the bands null,
     `none` only gives the bands. A null text has nulls; an empty one ratio 0 and, if counted, 0 words. Whole texts are read,
     however long. An empty table gives no rows; repeated rows each have theirs; other columns are ignored.
     """
     schema = "doc_id bigint, ratio double, chunk_ratio double, band string, words int, repeated_words int"
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_measure(exact), schema)
+    rows = spread(documents.select(F.col("doc_id").cast("bigint"), "text"), "doc_id", documents)
+    return rows.mapInArrow(_measure(exact), schema)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,6 +20,10 @@ from loomrank.sources.tables import saved, table
 
 BEST = 5
 BLOCK = 200_000
+#: A partition that holds so many rows gives them out and begins anew; the bounds it gives are valid all the same.
+HELD = 2_000_000
+#: From this share on, and in however few rows, pages count as heavy in p5_split.
+SPLIT_SHARE = 0.0002
 
 
 def _local_best(n: int):
@@ -33,24 +37,28 @@ def _local_best(n: int):
         keep = rank < n
         return group[keep], item[keep], score[keep], rank[keep]
 
+    def given(group, item, score, rank) -> Iterator[pa.RecordBatch]:
+        last = rank == n - 1
+        bounds = [pa.array(score, mask=~last), pa.array(item, mask=~last)]
+        t = pa.Table.from_arrays([pa.array(group), pa.array(item), pa.array(score), *bounds], names=["g", "i", "s", "bound_s", "bound_i"])
+        yield from t.to_batches(max_chunksize=BLOCK)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         rows, floor = 0, BLOCK
         for b in batches:
             held.append(tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
             rows += b.num_rows
-            if rows >= floor:
-                kept = best(*(np.concatenate(x) for x in zip(*held)))[:3]
-                held, rows = [kept], len(kept[0])
-                floor = max(BLOCK, 2 * rows)
-        if not rows:
-            return
-        group, item, score, rank = best(*(np.concatenate(x) for x in zip(*held)))
-        last = rank == n - 1
-        bound_score = pa.array(score, mask=~last)
-        bound_item = pa.array(item, mask=~last)
-        t = pa.Table.from_arrays([pa.array(group), pa.array(item), pa.array(score), bound_score, bound_item], names=["g", "i", "s", "bound_s", "bound_i"])
-        yield from t.to_batches(max_chunksize=BLOCK)
+            if rows < floor:
+                continue
+            kept = best(*(np.concatenate(x) for x in zip(*held)))
+            held, rows = [kept[:3]], len(kept[0])
+            if rows >= HELD:
+                yield from given(*kept)
+                held, rows = [], 0
+            floor = max(BLOCK, 2 * rows)
+        if rows:
+            yield from given(*best(*(np.concatenate(x) for x in zip(*held))))
 
     return run
 
@@ -76,10 +84,10 @@ def ranks_of_pages(pageranks: DataFrame) -> DataFrame:
     return pageranks.where("page_id is not null and pr is not null and not isnan(pr)").groupBy("page_id").agg(F.max("pr").alias("pr"))
 
 
-def best_pages(postings: DataFrame, pageranks: DataFrame, n: int = BEST) -> DataFrame:
-    """(word_val, page_id, score, place): the best pages of every word's high list by freq times pr."""
+def best_pages(postings: DataFrame, pageranks: DataFrame, n: int = BEST, share: float | None = None, least: int = skew.LEAST_ROWS) -> DataFrame:
+    """(word_val, page_id, score, place): the best pages of every word's high list by freq times pr. share, least: of heavy pages."""
     rows = distinct_postings(postings, ("high",)).where("freq is not null")
-    rows = skew.skew_join(rows, ranks_of_pages(pageranks), "page_id", heavy=skew.heavy_keys(postings.where("tier = 'high'"), "page_id"))
+    rows = skew.skew_join(rows, ranks_of_pages(pageranks), "page_id", heavy=skew.heavy_keys(postings.where("tier = 'high'"), "page_id", share, least))
     return top_n(rows.withColumn("score", F.col("freq") * F.col("pr")), "word_val", "page_id", "score", n)
 
 
@@ -91,11 +99,16 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_best(spark, folder).select("word_val", "page_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_best": p5_best}
+def p5_split(spark: SparkSession, folder: str) -> DataFrame:
+    """p5_best where small tables have heavy pages too."""
+    return best_pages(table(spark, folder, "postings"), table(spark, folder, "pageranks"), share=SPLIT_SHARE, least=1)
+
+
+QUERIES = {"p5_found": p5_found, "p5_best": p5_best, "p5_split": p5_split}
 _BEST = f"""
 WITH p AS (SELECT word_val, page_id, max(freq) AS freq FROM postings WHERE word_val IS NOT NULL AND tier = 'high' GROUP BY ALL),
 r AS (SELECT page_id, max(pr) AS pr FROM pageranks WHERE pr IS NOT NULL AND NOT isnan(pr) GROUP BY page_id),
 s AS (SELECT word_val, page_id, freq * pr AS score, row_number() OVER (PARTITION BY word_val ORDER BY freq * pr DESC, page_id DESC) AS place
 FROM p JOIN r USING (page_id) WHERE freq IS NOT NULL)
 SELECT word_val, page_id, score, CAST(place AS INTEGER) AS place FROM s WHERE place <= {BEST}"""
-SQL = {"p5_found": f"SELECT word_val, page_id FROM ({_BEST})", "p5_best": _BEST}
+SQL = {"p5_found": f"SELECT word_val, page_id FROM ({_BEST})", "p5_best": _BEST, "p5_split": _BEST}

@@ -21,12 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomrank.operators.postings import distinct_postings
-from loomrank.sources.tables import table
+from loomrank.sources.tables import local_table, table
 
 BASE, DIGITS = 27, 13
 POWERS = np.array([BASE**i for i in range(DIGITS + 1)], dtype=np.int64)
 SPACE = BASE**DIGITS
-#: Letters by which the directory is refined at a time; 27**3 counters at most come to the driver.
+#: Letters by which the directory is refined at a time.
 STEP = 3
 CAPACITY = 4096
 BUFFER = 500_000
@@ -54,48 +54,33 @@ def place_column(value: Column) -> Column:
 def directory(terms: DataFrame, value: str, routes: int) -> np.ndarray:
     """Lower bounds of the prefixes that terms are routed by, in ascending order, 0 first.
 
-    A prefix with more than 1 / routes of the rows is replaced by its 27 children, down to whole words;
-    counts of all rows decide. Every round brings at most 27**STEP counters per split prefix to the
-    driver, and at most `routes` prefixes can be split in a round.
+    A prefix with more than 1 / routes of the rows is replaced by its 27 children, down to whole words; counts of all
+    rows decide. A round counts the prefixes of the next three lengths under those that are still too heavy; the counts
+    stay in Spark, and only prefixes too heavy themselves, less than `routes` of each length, come to the driver.
     """
-    place = place_column(F.col(value))
-    bounds, open_, total = [0], [(0, 0)], None
-    for depth in range(STEP, DIGITS + STEP, STEP):
-        depth = min(depth, DIGITS)
-        unit, up = BASE ** (DIGITS - depth), BASE ** (DIGITS - (depth - 1) // STEP * STEP)
-        rows = terms.select(place.alias("p"))
-        if total is not None:
-            rows = rows.where(F.expr(f"p div {up}").isin([lower // up for lower, _ in open_]))
-        counts = rows.groupBy(F.expr(f"p div {unit}").alias("q")).count().toPandas()
-        q, n = counts["q"].to_numpy(np.int64), counts["count"].to_numpy(np.int64)
-        if total is None:
-            total = int(n.sum())
-        order = np.argsort(q)
-        q, n = q[order] * unit, n[order]
-        limit, again = max(1, total // max(1, routes)), []
-        for lower, d in open_:
-            again += _split(lower, d, depth, q, n, limit, bounds)
-        open_ = again
-        if not open_ or depth == DIGITS:
+    rows = terms.select(place_column(F.col(value)).alias("p"))
+    limit = max(1, rows.count() // max(1, routes))
+    bounds, open_ = [0], [0]  # lower bounds of the heavy prefixes of the last known length
+    for known in range(0, DIGITS, STEP):
+        depth = min(known + STEP, DIGITS)
+        up = BASE ** (DIGITS - known)
+        heavy_ones = F.broadcast(local_table(rows.sparkSession, [(x // up,) for x in open_], "o bigint"))
+        part = rows if not known else rows.withColumn("o", F.expr(f"p div {up}")).join(heavy_ones, "o", "left_semi")
+        counts = part.groupBy(F.expr(f"p div {BASE ** (DIGITS - depth)}").alias("q")).agg(F.count("*").alias("n"))
+        lengths = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.expr(f"q div {BASE ** (depth - d)}").alias("a")) for d in range(known, depth + 1)])).alias("x")
+        heavy = counts.select(lengths, "n").groupBy("x.d", "x.a").agg(F.sum("n").alias("n")).where(F.col("n") > limit).collect()
+        open_ = []
+        for d, a, _ in heavy:
+            lower, child = a * BASE ** (DIGITS - d), BASE ** (DIGITS - d - 1) if d < DIGITS else 0
+            if d < depth:
+                bounds += [lower + c * child for c in range(BASE)]
+            elif d < DIGITS:
+                open_.append(lower)
+        if not open_:
             break
     return np.unique(np.array(bounds, dtype=np.int64))
 
 
-def _split(lower: int, depth: int, most: int, q: np.ndarray, n: np.ndarray, limit: int, bounds: list[int]) -> list:
-    """Splits a prefix as far as counts are known; returns the prefixes that are still too heavy."""
-    width = BASE ** (DIGITS - depth)
-    a, b = np.searchsorted(q, [lower, lower + width])
-    if n[a:b].sum() <= limit or b - a <= 0:
-        return []
-    if depth == most:
-        return [(lower, depth)] if depth < DIGITS else []
-    out, step = [], width // BASE
-    for c in range(BASE):
-        bounds.append(lower + c * step)
-        out += _split(lower + c * step, depth + 1, most, q, n, limit, bounds)
-    return out
-
-
 class Leaf:
     """Sorted values with their counters."""
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,15 @@ def test_tries(made, monkeypatch):
     assert tries.marked_terms(df.limit(0)).collect() == []
     bounds = tries.directory(df.where("word_val is not null"), "word_val", 50)
     assert bounds[0] == 0 and (np.diff(bounds) > 0).all() and len(bounds) > 20
+    # by a count of every prefix: those with more than 1 / 50 of the rows are split, and no others
+    at = tries.places(np.array([r["word_val"] for r in df.where("word_val is not null").select("word_val").collect()]))
+    want = {0}
+    for depth in range(tries.DIGITS):
+        width = tries.BASE ** (tries.DIGITS - depth)
+        for a, n in Counter((at // width).tolist()).items():
+            if n > len(at) // 50:
+                want |= {a * width + c * (width // tries.BASE) for c in range(tries.BASE)}
+    assert set(bounds.tolist()) == want
 
 
 def test_trie_bursts_and_keeps_all():
@@ -58,14 +68,14 @@ def test_trie_bursts_and_keeps_all():
     assert (np.diff(np.concatenate([x.place for x in leaves])) >= 0).all()
 
 
-def _em(tf, background, own=distinctive.OWN):
-    z = sum(tf) or 1
-    p = [x / z for x in tf]
-    for _ in range(400):
-        e = [t * own * q / (own * q + (1 - own) * b) if own * q + (1 - own) * b > 0 else 0 for t, q, b in zip(tf, p, background)]
-        z = sum(e) or 1
-        p = [x / z for x in e]
-    return p
+def _em(tf, background, own=distinctive.OWN, rounds=20_000):
+    tf, background = np.array(tf, dtype=float), np.array(background)
+    p = tf / (tf.sum() or 1)
+    for _ in range(rounds):
+        below = own * p + (1 - own) * background
+        e = tf * np.divide(own * p, below, out=np.zeros_like(p), where=below > 0)
+        p = e / (e.sum() or 1)
+    return p.tolist()
 
 
 @pytest.mark.parametrize("giants", [False, True])
@@ -83,21 +93,25 @@ def test_distinctive(spark, made, giants):
     assert len(got) == sum(map(len, pages.values()))
     for p in (3, 4, 5, 77):
         want = _em([f for _, f in pages[p]], [max(occurrences[w], 0) / total for w, _ in pages[p]])
-        assert [got[p, w] for w, _ in pages[p]] == pytest.approx(want, abs=2e-3)
+        assert [got[p, w] for w, _ in pages[p]] == pytest.approx(want, abs=1e-5)
     assert distinctive.distinctive_words(df.limit(0)).collect() == []
 
 
 def test_every_page_converges_by_itself():
     r = np.random.default_rng(1)
-    sizes = [3, 40, 1, 7, 120, 2]
+    sizes = [3, 40, 1, 7, 120, 2, 4]
     tf, background = r.integers(0, 12, sum(sizes)).astype(float), r.random(sum(sizes)) / 400
+    tf[-4:] = 0  # a page without occurrences
+    background[5] = 0
     start = np.cumsum(sizes) - sizes
     p = distinctive.maximise(start, tf, background)
     for a, n in zip(start, sizes):
         own, t, b = p[a : a + n], tf[a : a + n], background[a : a + n]
-        assert (distinctive.maximise(np.array([0]), t, b) == own).all()
+        assert np.abs(distinctive.maximise(np.array([0]), t, b) - own).max() < 1e-12
+        assert np.abs(_em(t, b) - own).max() < 1e-5
         e = t * own / np.where(own + b > 0, own + b, 1)
-        assert np.abs(e / (e.sum() or 1) - own).max() < distinctive.TOLERANCE
+        assert np.abs(e / (e.sum() or 1) - own).max() < 1e-12  # another round changes nothing
+    assert distinctive.maximise(np.zeros(0, dtype=int), np.zeros(0), np.zeros(0)).tolist() == []
 
 
 def test_top_n(spark):
@@ -112,6 +126,25 @@ def test_top_n(spark):
     assert topn.top_n(df.limit(0), "word_val", "page_id", "score").count() == 0
 
 
+def test_top_n_of_partitions_that_give_out_early():
+    r = np.random.default_rng(4)
+    group, item, score = r.integers(0, 3000, 40_000), np.arange(40_000), r.integers(0, 50, 40_000) / 10
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 500]) for x in (group, item, score)], names=["g", "i", "s"]) for i in range(0, 40_000, 500)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(topn, "BLOCK", 1000)
+        m.setattr(topn, "HELD", 3000)
+        got = pa.Table.from_batches(topn._local_best(2)(iter(batches))).to_pylist()
+    best = {g: sorted(zip(score[group == g], item[group == g]), reverse=True)[:2] for g in range(3000)}
+    assert len(got) > 6000
+    kept, bounds = defaultdict(set), {}
+    for x in got:
+        kept[x["g"]].add((x["s"], x["i"]))
+        if x["bound_s"] is not None:
+            bounds[x["g"]] = max(bounds.get(x["g"], (-1, -1)), (x["bound_s"], x["bound_i"]))
+    for g, want in best.items():
+        assert set(want) <= kept[g] and (len(want) < 2 or bounds.get(g, (-1, -1)) <= want[1])
+
+
 @pytest.mark.parametrize("spread", [False, True])
 def test_median_rank(spark, spread):
     r = random.Random(3)
@@ -184,7 +217,11 @@ def test_subtree_with_many_unclosed_elements(unclosed):
     assert [text[a:b] for a, b, _ in found] == [block, "<p>the words after that</p>", block] and found[0][2] == found[2][2]
 
 
-def test_furniture_is_removed(spark):
+@pytest.mark.parametrize("large", [False, True])
+def test_furniture_is_removed(spark, large, monkeypatch):
+    if large:  # as where furniture is too much for a broadcast
+        monkeypatch.setattr("loomrank.operators.skew.LEAST_ROWS", 1)
+        monkeypatch.setattr("loomrank.operators.skew.BROADCAST_ROWS", 0)
     menu = '<div class="menu"><p>Home pages and contents</p></div>'
     rows = [(i, f"T{i}", f"{menu} Text {i} <div>Only {i} has this one text</div>", "xa", None, "h") for i in range(30)] + [(100 + i, "T", f"{menu} Text", "xb", None, "h") for i in range(3)]
     rows += [rows[0], (None, "t", "t", "xa", None, "h"), (200, None, None, None, None, None), (201, "", "", "xa", None, None)]
@@ -226,6 +263,12 @@ def test_configurations_meet_the_demand():
     assert sum(n for _, n in plan) <= math.ceil(sizes @ demand / 512 * 1.05) + 4
 
 
+def test_too_few_columns_are_logged(caplog):
+    sizes, demand = np.array([300, 200, 150, 90]), np.array([100, 150, 77, 301])
+    plan = packing.configurations(sizes, demand, 512, rounds=0)
+    assert (sum(f * n for f, n in plan) == demand).all() and "did not reach the optimum" in caplog.text
+
+
 def test_mixing(spark):
     r = random.Random(5)
     rows = [(i, r.choice(["A", " a", "b", "B\t", "c", "zz", None]), r.choice([None, *range(1, 50)]), "x") for i in range(4000)]
