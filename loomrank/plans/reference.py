@@ -193,23 +193,6 @@ def title_offsets(s, d):
     return skew.running_sum(t, "file_name", [F.col("seq"), F.col("page_id")], F.col("size"), "title_offset").select("page_id", "size", "title_offset")
 
 
-def _page_lists(s, d):
-    rows = table(s, d, "postings").where("word_val is not null and tier = 'high'").select("word_val", "page_id").distinct().withColumn("load", F.lit(0))
-    return skew.per_key_lists(rows, "word_val", "page_id", "load", F.col("page_id"))
-
-
-def delta_encode(s, d):
-    return _told(_gaps(s, d), "gaps")
-
-
-def _gaps(s, d):
-    return _page_lists(s, d).select("word_val", "segment", text.deltas(F.col("items")).alias("gaps"))
-
-
-def delta_decode(s, d):
-    return _told(_gaps(s, d).select("word_val", "segment", text.undeltas(F.col("gaps")).alias("ids")), "ids")
-
-
 def _lists_of_all(s, d):
     """(word_val, tier, freq, segment, items): the title, category and high list of every word, and its low lists by freq."""
     freq = F.when(F.col("tier") == "low", F.col("freq").cast("string"))
@@ -223,12 +206,12 @@ def _gaps_of_all(s, d):
     return _lists_of_all(s, d).withColumn("gaps", text.deltas(F.col("items"))).drop("items")
 
 
-def delta_encode_lists(s, d):
-    """delta_encode over the lists of all tiers. Every list starts anew, also the low ones, whose gaps the reference carries on from freq to freq."""
+def delta_encode(s, d):
+    """The gaps of the lists of all tiers, the low ones by freq. Every list starts anew, also the low ones, whose gaps the reference carries on from freq to freq."""
     return _told(_gaps_of_all(s, d), "gaps")
 
 
-def delta_decode_lists(s, d):
+def delta_decode(s, d):
     return _told(_gaps_of_all(s, d).withColumn("ids", text.undeltas(F.col("gaps"))).drop("gaps"), "ids")
 
 
@@ -325,6 +308,18 @@ def backlinks(s, d):
     return _told(links.backlinks(table(s, d, "edges")), "items")
 
 
+def terms_per_file(s, d):
+    """(file_name, terms, postings): what each file of the dump gives to the index."""
+    page = dump.delivered_once(table(s, d, "page"), "page_id", ["page_id", "file_name"])
+    counts = index.term_freq(_pages(s, d)).join(page, "page_id").groupBy("file_name", "stem").agg(F.count("*").alias("n"))
+    return counts.groupBy("file_name").agg(F.count("*").alias("terms"), F.sum("n").alias("postings"))
+
+
+def resolve_by_number(s, d):
+    p, cfg = _pages(s, d), EngineConfig(match_by_number=True)
+    return links.resolve_links(links.extract_links(p), p, cfg).groupBy("src", "dst", "target").agg(F.count("*").alias("n"))
+
+
 def corpus_stats(s, d):
     return links.corpus_stats(_pages(s, d))
 
@@ -389,8 +384,7 @@ def _numbered(terms: DataFrame) -> DataFrame:
 
 
 def lookup_postings(s, d):
-    words = table(s, d, "query_terms").select("word_val").distinct()
-    return _tiered(s, d).where("tier <> 'low'").join(words, "word_val", "left_semi")
+    return search.named(_tiered(s, d).where("tier <> 'low'"), "word_val", table(s, d, "query_terms"), "words")
 
 
 def merge_high_list(s, d):
@@ -442,6 +436,13 @@ def _searched(cfg: EngineConfig, query: str | None = None):
     return run
 
 
+def search_lower_bound(s, d):
+    """search_batch where an unknown word becomes the next of the dictionary."""
+    terms = search.next_words(search.parse_query(table(s, d, "queries")), _dictionary_terms(s, d))
+    got = search.answer(_numbered(terms), _postings(s, d), _usable(s, d), _pages(s, d))
+    return got.select("query_id", "rank", "page_id", "title", F.round("score", 9).alias("score"))
+
+
 def engine(s, d):
     """The whole engine on the pages of the table: links, ranks, index, and all queries. Ranks are rounded, so that those
     that are equal but for the order of a sum are equal."""
@@ -497,11 +498,10 @@ def saved_page_stats(s, d):
 QUERIES = {f.__name__: f for f in (
     scan_pages, dump_round_trip, page_count, page_id_offsets, extract_title, extract_text, redirect_filter, redirect_plain, ascii_lower, tokenize, porter_measure,
     stem, stem_full, word_hash, word_unhash, title_hash, stop_stems, tokens_nostop, term_freq, posting_pack, posting_unpack, posting_tier, inverted_index, low_lists,
-    dictionary, vocabulary_size, posting_lists, nested_lists, doc_freq, title_offsets, delta_encode, delta_decode, delta_encode_lists, delta_decode_lists,
-    delta_backlinks, varint_encode, signed_encode, varint_round_trip, byte_encode, short_encode, double_round_trip, packed_words, text_encode, backlink_bytes,
-    extract_links, title_dict, resolve_links, unresolved_links, page_edges, edges, out_degree, backlinks, corpus_stats, pagerank_init, pagerank_residuals,
+    dictionary, vocabulary_size, posting_lists, nested_lists, doc_freq, title_offsets, delta_encode, delta_decode, delta_backlinks, varint_encode, signed_encode, varint_round_trip, byte_encode, short_encode, double_round_trip, packed_words, text_encode, backlink_bytes,
+    extract_links, title_dict, resolve_links, unresolved_links, page_edges, edges, out_degree, backlinks, corpus_stats, terms_per_file, resolve_by_number, pagerank_init, pagerank_residuals,
     parse_query, lookup_exact, lookup_lower_bound, lookup_first_dropped, lookup_postings, merge_high_list, idf_weight, intersect_two, intersect_pages,
-    conjunctive_search, rank_list, fetch_title, engine, search_saved, saved_dictionary, saved_postings, saved_titles, saved_degrees, saved_backlinks, saved_ranks,
+    conjunctive_search, rank_list, fetch_title, engine, search_lower_bound, search_saved, saved_dictionary, saved_postings, saved_titles, saved_degrees, saved_backlinks, saved_ranks,
     saved_page_stats,
 )}
 QUERIES |= {f"{f}_tokens": _field_tokens(f) for f in ("title", "body", "category")}

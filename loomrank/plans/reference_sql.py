@@ -157,14 +157,18 @@ def _topk(query: str) -> str:
     return (f"WITH {FOUND}" + searching(asked="parsed") + BEST + TOP).replace("FROM queries WHERE query_id IS NOT NULL", f"FROM (SELECT 0::BIGINT AS query_id, '{query}' AS query_text)")
 
 
+def title_number(c: str) -> str:
+    return f"""list_reduce(list_prepend(0::HUGEINT, list_transform(list_filter(string_split(translate({c}, {LC}), ''), lambda c: c <> ''), lambda c: CAST(CASE WHEN c BETWEEN 'a' AND 'z' THEN ascii(c) - 96
+WHEN c BETWEEN '0' AND '8' THEN ascii(c) - 21 WHEN c = '.' THEN 37 ELSE ascii(c) % 36 END AS HUGEINT))), lambda a, c: (a * 38 + c) % 18446744073709551616)"""
+
+
 def varint(n: str) -> str:
     """A number from 0 on as the hexadecimal bytes of its varint."""
     return f"""array_to_string(list_transform(list_filter(range(0, 9), lambda i: i = 0 OR {n} >= (1::BIGINT << (7 * i)::INTEGER)), lambda i: printf('%02x',
 CAST((({n} >> (7 * i)::INTEGER) & 127) * 2 + CASE WHEN {n} >= (1::BIGINT << (7 * (i + 1))::INTEGER) THEN 1 ELSE 0 END AS INTEGER))), '')"""
 
 
-_LISTS = "(SELECT word_val, 0 AS segment, list(page_id ORDER BY page_id) AS ids FROM (SELECT DISTINCT word_val, page_id FROM postings WHERE word_val IS NOT NULL AND tier = 'high') GROUP BY word_val)"
-_LISTS_OF_ALL = f"WITH {POSTINGS}, l AS (SELECT word_val, tier, f AS freq, 0 AS segment, list(page_id ORDER BY page_id) AS ids FROM (SELECT *, CASE WHEN tier = 'low' THEN freq END AS f FROM p) GROUP BY word_val, tier, f)"
+_LISTS = f"WITH {POSTINGS}, l AS (SELECT word_val, tier, f AS freq, 0 AS segment, list(page_id ORDER BY page_id) AS ids FROM (SELECT *, CASE WHEN tier = 'low' THEN freq END AS f FROM p) GROUP BY word_val, tier, f)"
 _COUNTS = "SELECT page_id, word, count(*) AS n FROM tokens WHERE field = '{}' GROUP BY ALL"
 _INDEX = "SELECT stem, tier, 0 AS segment, count(*) AS n, string_agg(page_id || ':' || freq, ',' ORDER BY page_id) AS items FROM (SELECT stem, CASE WHEN tier = 'low' THEN 'low' || freq ELSE tier END AS tier, page_id, freq FROM tiers) GROUP BY stem, tier"
 
@@ -184,8 +188,7 @@ SQL = {
     "stem_full": f"WITH {TOKENS}{stems('tokens', full=True)} SELECT word, stem FROM stemmed",
     "word_hash": f"WITH {TOKENS} SELECT word, CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(word, ''), lambda c: (ascii(c) - 96)::HUGEINT)), lambda a, c: (a * 27 + c) % 18446744073709551616) AS VARCHAR) AS number FROM (SELECT DISTINCT word FROM tokens)",
     "word_unhash": f"SELECT word_val, {letters('word_val')} AS word FROM (SELECT DISTINCT word_val FROM postings WHERE word_val IS NOT NULL)",
-    "title_hash": f"""SELECT title, CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(list_filter(string_split(translate(title, {LC}), ''), lambda c: c <> ''), lambda c: CAST(CASE WHEN c BETWEEN 'a' AND 'z' THEN ascii(c) - 96
-WHEN c BETWEEN '0' AND '8' THEN ascii(c) - 21 WHEN c = '.' THEN 37 ELSE ascii(c) % 36 END AS HUGEINT))), lambda a, c: (a * 38 + c) % 18446744073709551616) AS VARCHAR) AS number FROM (SELECT DISTINCT title FROM page WHERE title IS NOT NULL)""",
+    "title_hash": f"SELECT title, CAST({title_number('title')} AS VARCHAR) AS number FROM (SELECT DISTINCT title FROM page WHERE title IS NOT NULL)",
     "stop_stems": f"WITH {STOP}{stems('stop')} SELECT DISTINCT stem FROM stemmed",
     **{f"{f}_tokens": f"WITH {TOKENS} {_COUNTS.format(f)}" for f in ("title", "body", "category")},
     "tokens_nostop": f"WITH {KEPT} SELECT page_id, field, stem, count(*) AS n FROM kept GROUP BY ALL",
@@ -204,10 +207,8 @@ UNION ALL SELECT word_val, 'high', unnest(high_list) FROM posting_list) WHERE wo
 UNION ALL SELECT word_val, 'low', unnest(ids), f FROM (SELECT word_val, unnest(low_list) AS ids, CAST(generate_subscripts(low_list, 1) - 1 AS INTEGER) AS f FROM posting_list WHERE word_val IS NOT NULL)""",
     "doc_freq": f"WITH {POSTINGS} SELECT word_val, count(*) AS searchable_pages FROM p WHERE tier <> 'low' GROUP BY word_val",
     "title_offsets": f"WITH {PAGES} SELECT page_id, size, CAST(coalesce(sum(size) OVER (PARTITION BY file_name ORDER BY seq, page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS title_offset FROM (SELECT page_id, file_name, seq, CAST(strlen(title) + 1 AS BIGINT) AS size FROM raw JOIN pages USING (page_id))",
-    "delta_encode": f"SELECT word_val, segment, array_to_string(list_transform(ids, lambda x, i: x - coalesce(ids[i - 1], 0)), ',') AS gaps FROM {_LISTS}",
-    "delta_decode": f"SELECT word_val, segment, array_to_string(ids, ',') AS ids FROM {_LISTS}",
-    "delta_encode_lists": f"{_LISTS_OF_ALL} SELECT word_val, tier, freq, segment, array_to_string(list_transform(ids, lambda x, i: x - coalesce(ids[i - 1], 0)), ',') AS gaps FROM l",
-    "delta_decode_lists": f"{_LISTS_OF_ALL} SELECT word_val, tier, freq, segment, array_to_string(ids, ',') AS ids FROM l",
+    "delta_encode": f"{_LISTS} SELECT word_val, tier, freq, segment, array_to_string(list_transform(ids, lambda x, i: x - coalesce(ids[i - 1], 0)), ',') AS gaps FROM l",
+    "delta_decode": f"{_LISTS} SELECT word_val, tier, freq, segment, array_to_string(ids, ',') AS ids FROM l",
     "delta_backlinks": f"WITH {EDGES}, l AS (SELECT dst, list(src ORDER BY src) AS ids FROM e GROUP BY dst) SELECT dst, 0 AS segment, array_to_string(list_transform(ids, lambda x, i: x - coalesce(ids[i - 1], 0)), ',') AS gaps FROM l",
     "varint_encode": f"SELECT n, {varint('n')} AS bytes FROM (SELECT DISTINCT dst AS n FROM edges WHERE dst IS NOT NULL)",
     "signed_encode": f"""SELECT n, printf('%02x', CAST(CASE WHEN n < 0 THEN 128 ELSE 0 END + (abs(n) & 63) * 2 + CASE WHEN abs(n) > 63 THEN 1 ELSE 0 END AS INTEGER)) || CASE WHEN abs(n) > 63 THEN {varint('(abs(n) >> 6)')} ELSE '' END AS bytes
@@ -226,6 +227,8 @@ SELECT dst, 0 AS segment, bytes, CAST(coalesce(sum(length(bytes) // 2) OVER (ORD
     "extract_links": f"WITH {LINKS} SELECT src, target, count(*) AS n FROM links GROUP BY ALL",
     "title_dict": f"WITH {LINKS} SELECT title_key, page_id FROM titles",
     "resolve_links": f"WITH {LINKS} SELECT src, page_id AS dst, target, count(*) AS n FROM links JOIN titles USING (title_key) GROUP BY ALL",
+    "resolve_by_number": f"WITH {LINKS}, t AS (SELECT {title_number('title')} AS v, max(page_id) AS dst FROM pages GROUP BY ALL) SELECT src, dst, target, count(*) AS n FROM (SELECT src, target, {title_number('target')} AS v FROM links) JOIN t USING (v) GROUP BY ALL",
+    "terms_per_file": f"WITH {KEPT} SELECT file_name, count(DISTINCT stem) AS terms, count(*) AS postings FROM freqs JOIN raw USING (page_id) GROUP BY file_name",
     "unresolved_links": f"WITH {LINKS} SELECT src, target, count(*) AS n FROM links ANTI JOIN titles USING (title_key) GROUP BY ALL",
     "page_edges": f"WITH {LINKS} SELECT DISTINCT src, page_id AS dst FROM links JOIN titles USING (title_key)",
     "edges": f"WITH {EDGES} SELECT src, dst FROM e",
@@ -253,6 +256,7 @@ d AS (SELECT word_val::HUGEINT AS v, stem FROM dict) SELECT query_id, pos, d.ste
     "fetch_title": f"WITH {PAGES} SELECT page_id, translate(title, {LC}) AS title FROM pages SEMI JOIN pageranks USING (page_id)",
     "search_topk": _topk("list of c:stub"),
     "search_batch": f"WITH {FOUND}{searching(asked='parsed')}{BEST}{TOP}",
+    "search_lower_bound": f"WITH {PARSED}, {POSTINGS}, {NAMES}, n AS (SELECT query_id, pos, flags, {NUMBER} AS v FROM parsed), d AS (SELECT word_val, word_val::HUGEINT AS v FROM dict), terms AS (SELECT query_id, pos, flags, word_val FROM n ASOF JOIN d ON n.v <= d.v){searching()}{BEST}{TOP}",
     "search_fields": f"WITH {FOUND}{searching(fields=True, asked='parsed')}{BEST}{TOP}",
     "search_low": f"WITH {FOUND}{searching(low=True, asked='parsed')}{BEST}{TOP}",
     "search_saved": f"WITH {FOUND}{searching(asked='parsed')}{BEST}{TOP}",
