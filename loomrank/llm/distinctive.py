@@ -141,11 +141,14 @@ def distinctive_words(postings: DataFrame, own: float = OWN, giant: DataFrame |
     rows without word_val or page_id not at all; ties score alike; empty input gives no rows; other columns
     are ignored. giant: the page_id to be spread over tasks, by default those with a heavy share of rows.
     """
-    words = saved(word_totals(postings).select("word_val", "pages", "occurrences"), "words")
-    total = words.agg(F.sum("occurrences")).first()[0] or 1
-    background = words.select("word_val", "pages", (F.greatest("occurrences", F.lit(0)) / F.lit(float(total))).alias("background"))
-    rows = distinct_postings(postings, TIERS[:2])
-    rows = skew.skew_join(rows, background, "word_val")
+    named = (F.col("title_pages") + F.col("category_pages")).alias("named")
+    words = saved(word_totals(postings).select("word_val", "pages", "occurrences", named), "words")
+    sums = words.agg(F.sum("occurrences").alias("occurrences"), F.sum("named").alias("named")).first()
+    share = F.greatest("occurrences", F.lit(0)) / F.lit(float(sums["occurrences"] or 1))
+    # the words that stand in most of the rows to be scored are known by their counts: 1 / share at most
+    least = max(skew.LEAST_ROWS, skew.heavy_share(postings.sparkSession) * (sums["named"] or 0))
+    heavy = local_table(postings.sparkSession, words.where(F.col("named") >= least).select("word_val", "named").collect(), "word_val bigint, estimate bigint")
+    rows = skew.skew_join(distinct_postings(postings, TIERS[:2]), words.select("word_val", "pages", share.alias("background")), "word_val", heavy=heavy)
     rows = rows.select("page_id", "word_val", "freq", "tier_no", "pages", F.coalesce("freq", F.lit(0)).alias("tf"), "background")
     giant = skew.heavy_keys(postings.where(F.col("tier").isin(*TIERS[:2])), "page_id") if giant is None else giant
     few = giant.count()
