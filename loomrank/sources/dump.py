@@ -75,17 +75,19 @@ def delivered_once(rows: DataFrame, key: str, columns: list[str], loaded: str =
     to be broadcast. Other rows are grouped whole.
     """
     rows, key_ = rows.where(F.col(key).isNotNull()), F.col(key)
+    path = F.col("_metadata.file_path")
+    place = [F.xxhash64(path).alias("_file"), F.xxhash64(F.lit(1), path).alias("_file2"), F.col("_metadata.row_index").alias("_row")]  # 128 bits of the path
     try:
-        at = rows.select(*{key: 0, **dict.fromkeys(columns)}, F.col(loaded).alias("_loaded"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        at = rows.select(*{key: 0, **dict.fromkeys(columns)}, F.col(loaded).alias("_loaded"), *place)
     except AnalysisException:  # not from files
         first = F.min(F.struct(F.col(loaded).alias("_loaded"), *[c for c in columns if c != key])).alias("_r")
         return rows.groupBy(key).agg(first).select(*[key_ if c == key else F.col(f"_r.{c}") for c in columns])
     again = saved(rows.groupBy(key).count().where("count > 1").select(key), "repeated")
     if again.isEmpty():
         return at.select(columns)
-    place = F.struct("_loaded", "_file", "_row")
-    first = saved(skew.lookup(at.select(key, "_loaded", "_file", "_row"), again, key).groupBy(key).agg(F.min(place).alias("_first")), "first_rows")
-    return skew.lookup(at, first, key, "left").where(F.col("_first").isNull() | (F.col("_first") == place)).select(columns)
+    first = skew.lookup(at.select(key, "_loaded", "_file", "_file2", "_row"), again, key).groupBy(key).agg(F.min(F.struct("_loaded", "_file", "_file2", "_row")).alias("_r"))
+    first = saved(first.select(key, F.struct("_r._file", "_r._file2", "_r._row").alias("_first")), "first_rows")
+    return skew.lookup(at, first, key, "left").where(F.col("_first").isNull() | (F.col("_first") == F.struct("_file", "_file2", "_row"))).select(columns)
 
 
 def records(page: DataFrame) -> DataFrame:
