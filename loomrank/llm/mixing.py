@@ -123,20 +123,19 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
-    """(source, tokens, short, repeats_kept, near, nothing_else): the selection of p8_mix against the report of p8_shares.
+    """(doc_id, source, tokens, short, repeats_kept, near, told) of every document of a listed source, for the selection of p8_mix.
 
-    near: what the chosen documents have differs from the target by half the source's largest document at most, or the
-    source is short and gives all it may; nothing_else: the report tells the tokens that were chosen.
+    near: what the source gives differs from its target by half its largest document at most, or it is short and gives
+    all it may; told: the report has the tokens that were chosen.
     """
-    weights = table(spark, folder, "source_weights")
-    chosen, report = mix(table(spark, folder, "documents"), weights)
-    got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("got"), F.max("copies").alias("most"))
-    largest = _rows(table(spark, folder, "documents"), weights).groupBy("source").agg(F.max("tokens").alias("largest"))
-    rows = report.join(got, "source", "left").join(largest, "source", "left").join(weights.select("source", "max_repeats"), "source")
-    have, most = F.coalesce("got", F.lit(0)), F.coalesce("most", F.lit(0))
-    near = F.when(F.col("short"), have == F.col("max_repeats") * F.col("tokens")).otherwise(F.abs(have - F.col("target_tokens")) <= F.coalesce("largest", F.lit(0)) / 2 + 0.5)
-    checks = [(most <= F.col("max_repeats")).alias("repeats_kept"), near.alias("near"), (have == F.col("chosen_tokens")).alias("nothing_else")]
-    return rows.select("source", "tokens", "short", *checks)
+    documents, weights = table(spark, folder, "documents"), table(spark, folder, "source_weights")
+    chosen, report = mix(documents, weights)
+    rows = _rows(documents, weights).select("doc_id", "source", "tokens").join(chosen.select("doc_id", "copies"), "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+    rows = saved(rows.join(F.broadcast(weights.select("source", "max_repeats")), "source"), "chosen")
+    have = rows.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("have"), F.max("tokens").alias("largest"), F.first("max_repeats").alias("most"), F.sum("tokens").alias("all"))
+    near = F.when(F.col("short"), F.col("have") == F.col("most") * F.col("all")).otherwise(F.abs(F.col("have") - F.col("target_tokens")) <= F.col("largest") / 2 + 0.5)
+    sources = report.join(have, "source").select("source", "short", near.alias("near"), (F.col("have") == F.col("chosen_tokens")).alias("told"))
+    return rows.join(F.broadcast(sources), "source").select("doc_id", "source", "tokens", "short", (F.col("copies") <= F.col("max_repeats")).alias("repeats_kept"), "near", "told")
 
 
 QUERIES = {f.__name__: f for f in (p8_found, p8_shares, p8_mix, p8_checked)}
@@ -146,5 +145,6 @@ FROM source_weights w LEFT JOIN documents d ON lower(regexp_replace(d.source, '^
 _SHORT = "r * n < share * (SELECT sum(n) FROM t)"
 SQL = {
     "p8_found": f"{_TOTALS} SELECT source FROM t WHERE {_SHORT}",
-    "p8_checked": f"{_TOTALS} SELECT source, CAST(n AS BIGINT) AS tokens, {_SHORT} AS short, true AS repeats_kept, true AS near, true AS nothing_else FROM t",
+    "p8_checked": rf"""{_TOTALS} SELECT doc_id, t.source, CAST(greatest(coalesce(n_tokens, 0), 0) AS BIGINT) AS tokens, {_SHORT} AS short, true AS repeats_kept, true AS near, true AS told
+FROM t JOIN documents d ON lower(regexp_replace(d.source, '^\s+|\s+$', '', 'g')) = t.source""",
 }

@@ -194,19 +194,19 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return total.join(table(spark, folder, "containers"), "container").select("container", "containers", "tokens", share.alias("unused"))
 
 
-def p7_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """(container, documents, tokens, pieces, cut, fits): what p7_pack laid into the containers; fits: no slot holds more than the capacity."""
+def p7_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """(container, doc_id, pieces, tokens, fits): what p7_pack laid of each document; pieces takes no account of those without
+    room, and fits says that no slot which holds one is above its capacity."""
     rows = saved(p7_pack(spark, folder), "packed")
-    first, count = F.col("piece") == 0, lambda c: F.count(F.when(c, 1))
-    total = rows.groupBy("container").agg(count(first).alias("documents"), F.sum("tokens").alias("tokens"), count(F.col("slot").isNotNull()).alias("pieces"), count(first & (F.col("pieces") > 1)).alias("cut"))
-    most = rows.where("slot is not null").groupBy("container", "slot").agg(F.sum("tokens").alias("used")).groupBy("container").agg(F.max("used").alias("most"))
-    fits = total.join(most, "container", "left").join(table(spark, folder, "containers"), "container").withColumn("fits", F.coalesce(F.col("most") <= F.col("capacity"), F.lit(True)))
-    return fits.select("container", "documents", "tokens", "pieces", "cut", "fits")
+    used = rows.where("slot is not null").groupBy("container", "slot").agg(F.sum("tokens").alias("used"))
+    used = used.join(table(spark, folder, "containers"), "container").select("container", "slot", (F.col("used") <= F.col("capacity")).alias("fits"))
+    each = rows.join(used, ["container", "slot"], "left").groupBy("container", "doc_id")
+    return each.agg(F.count("slot").alias("pieces"), F.sum("tokens").alias("tokens"), F.min(F.coalesce("fits", F.lit(True))).alias("fits"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p7_totals": p7_totals}
+QUERIES = {"p7_found": p7_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p7_checked": p7_checked}
 SQL = {
     "p7_found": "SELECT container, doc_id FROM containers JOIN documents ON n_tokens > capacity",
-    "p7_totals": """SELECT container, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum((n + capacity - 1) // capacity) AS BIGINT) AS pieces, count(*) FILTER (n > capacity) AS cut, true AS fits
-FROM containers, (SELECT greatest(coalesce(n_tokens, 0), 0) AS n FROM documents) GROUP BY container""",
+    "p7_checked": """SELECT container, doc_id, CAST((n + capacity - 1) // capacity AS BIGINT) AS pieces, CAST(n AS BIGINT) AS tokens, true AS fits
+FROM containers, (SELECT doc_id, greatest(coalesce(n_tokens, 0), 0) AS n FROM documents)""",
 }
