@@ -22,7 +22,7 @@ from loomrank.sources import dump
 from loomrank.sources.tables import BROADCAST_ROWS, local_table, saved, settled
 
 #: Up to so many different words or pages are named in the filter of a scan; more are joined.
-MOST_NAMED = 500
+MOST_NAMED = 2_000
 
 
 def parse_query(queries: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -76,12 +76,20 @@ def merged_weight(cfg: EngineConfig = DEFAULT) -> Column:
     return F.col("freq").cast("bigint") * by
 
 
+def _one_of(key: str, values: list) -> Column:
+    """key is one of the numbers or strings; as one text, since a call for every value takes longer than the search."""
+    if not values:
+        return F.lit(False)
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"`{key}` in ({','.join(quoted(v) if isinstance(v, str) else str(v) for v in values)})")
+
+
 def named(df: DataFrame, key: str, few: DataFrame, name: str) -> DataFrame:
     """The rows of df whose key stands in few: by a filter that reaches the scan, by broadcast, or by a join, as few is larger."""
     few = few.select(key).where(F.col(key).isNotNull()).distinct()
     rows = few.limit(MOST_NAMED + 1).toArrow()
     if rows.num_rows <= MOST_NAMED:
-        return df.where(F.col(key).isin(rows.column(0).to_pylist()))
+        return df.where(_one_of(key, rows.column(0).to_pylist()))
     few = saved(few, name)
     return df.join(F.broadcast(few), key, "left_semi") if few.count() <= BROADCAST_ROWS else skew.skew_join(df, few, key)
 
@@ -134,8 +142,12 @@ def conjunctive(terms: DataFrame, postings: DataFrame, cfg: EngineConfig = DEFAU
 
 
 def rank_list(weights: DataFrame, ranks: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """(query_id, rank, page_id, score): the best pages of every query, rank from 0; pages without a rank are left out."""
-    scored = weights.join(ranks.select("page_id", "pr"), "page_id").withColumn("score", F.col("pr") * F.col("weight"))
+    """(query_id, rank, page_id, score): the best pages of every query, rank from 0; pages without a rank are left out.
+
+    ranks: a row per page at most. A page that very many queries find doesn't crowd one task, and a query with very many
+    pages brings its best of every task only.
+    """
+    scored = skew.lookup(weights, ranks.select("page_id", "pr"), "page_id").withColumn("score", F.col("pr") * F.col("weight"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("page_id"))) - 1
     return scored.withColumn("rank", place).where(F.col("rank") < cfg.results).select("query_id", "rank", "page_id", "score")
 
@@ -148,7 +160,7 @@ def answer(
     Candidates, and then the results, 10 a query, choose what is read of ranks and titles.
     """
     candidates = saved(conjunctive(terms, postings, cfg, dictionary), "candidates")
-    best = settled(rank_list(candidates, named(ranks, "page_id", candidates, "pages"), cfg), "best")
+    best = settled(rank_list(candidates, saved(named(ranks, "page_id", candidates, "pages"), "ranks"), cfg), "best")
     chosen = named(titles.select("page_id", ascii_lower(F.col("title")).alias("title")), "page_id", best, "pages")
     return best.join(chosen, "page_id").select("query_id", "rank", "page_id", "title", "score")
 

@@ -106,6 +106,15 @@ def test_search_reads_only_the_lists_of_its_words(spark, saved_engine):
     assert "approx_top_k" not in plan and "Exchange hashpartitioning" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_named_values_of_any_kind(spark):
+    values = ["a", "it's", "back\\slash", 'say "x"', "ü", ""]
+    df = spark.createDataFrame([(v,) for v in [*values, "b", None]], "v string")
+    assert {r["v"] for r in search.named(df, "v", df.where("v <> 'b'"), "values").collect()} == set(values)
+    numbers = spark.createDataFrame([(-5,), (2**62,), (3,), (None,)], "v bigint")
+    assert {r["v"] for r in search.named(numbers, "v", numbers.where("v <> 3"), "values").collect()} == {-5, 2**62}
+    assert search.named(df, "v", df.limit(0), "values").count() == 0
+
+
 def test_larger_batches_take_joins(spark, saved_engine, monkeypatch):
     _, loaded, _ = saved_engine
     ask = spark.createDataFrame([(1, "gamma"), (2, "alpha beta"), (3, "omega"), (4, "greek"), (5, "alpha ray"), (6, "nothing alpha")], "query_id bigint, query_text string")
